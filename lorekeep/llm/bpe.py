@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words a worker keeps; the table is emptied when full, which bounds its memory.
-CACHE_WORDS = 400_000
+#: Words a worker keeps in each of two generations; when the newer is full it becomes the older, which bounds memory
+#: and keeps frequent words.
+CACHE_WORDS = 150_000
 _RUN = re.compile(r"\s\s|\s\Z")
+#: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,./:;=>?@\[\\\]^_`{}~-]*)")
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -33,21 +37,33 @@ class _Words(dict):
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self._encode, self._limit = encode, limit
+        self._encode, self._limit, self._older = encode, limit, {}
 
     def __missing__(self, word):
+        found = self._older.get(word)
+        if found is None:
+            found = self._encode(word)
         if len(self) >= self._limit:
+            self._older = dict(self)
             self.clear()
-        self[word] = found = self._encode(word)
+        self[word] = found
         return found
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where printable, else the next from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 def kind_of(spec: dict) -> str:
     pre, rest = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and rest is None:
         return "attach"
-    first = (pre.get("pretokenizers") or [{}])[0]
-    if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in json.dumps(first.get("pattern")).replace("\\\\", "\\"):
+    first, *others = pre.get("pretokenizers") or [{}]
+    steps = [x.get("type") for x in (rest or {}).get("normalizers", [])]
+    if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in others] == ["ByteLevel"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in json.dumps(first.get("pattern")).replace("\\\\", "\\"):
         return "drop"
     return "whole"
 
@@ -63,10 +79,31 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.plain = _Words(self.whole, limit)
-        self.spaced = _Words(lambda w: self.whole(" " + w), limit)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model, self.letters, self.lower = self.tokenizer.model, byte_letters(), self.kind == "drop"
+        self.parts = _Words(self.pretoken, limit)
+        self.plain = _Words(self.word, limit)
+        self.spaced = _Words(lambda w: self.word(w, " "), limit)
         self.newline = self.whole("\n") if self.kind == "attach" else b""
 
+    def pretoken(self, part: str) -> bytes:
+        mapped = part if part.isascii() and " " not in part else part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def word(self, word: str | bytes, before: str = "") -> bytes:
+        """ids of a word; simple ones skip the library's normalizer and pre-tokenizer, which would not change them."""
+        if isinstance(word, bytes):
+            word = word.decode("utf-8", "replace")
+        simple = _SIMPLE.fullmatch(word)
+        if not simple:
+            return self.whole(before + word)
+        name, mark = simple.groups()
+        if self.lower:
+            name = name.lower()
+        if not name:
+            return self.parts[before + mark] if before + mark else b""
+        return self.parts[before + name] + self.parts[mark] if mark else self.parts[before + name]
+
     def whole(self, text: str | bytes) -> bytes:
         if isinstance(text, bytes):
             text = text.decode("utf-8", "replace")
