@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, token_blocks, toxicity, word_table
+from . import chat_trees, langid, packing, scaled_sketch, simhash, token_blocks, toxicity, word_table
 from .common import prepare, scratch_dir
 
 
@@ -33,6 +33,35 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_trees.format_paths(chat_trees.paths(chat_trees.reply_chains(rows), per_tree=1), trained="assistant")
+    out = out.select(F.col("tree").alias("conv_id"), "formatted", chat_trees.parsed(F.col("formatted")).alias("turns"), chat_trees.masked(F.col("formatted"), F.col("loss")).alias("under"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), sized AS (
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c')) + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) + 14 AS size FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op5_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     encoded = word_table.encode(read(spark, sf_dir, "documents"), path)
@@ -64,5 +93,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.edited_report(read(spark, sf_dir, "documents"), words=5, fraction=1 / 8)
+
+
+QUERIES = {"op2_reply_trees": op2_reply_trees, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
+ORACLE_SQL: dict[str, str] = {"op2_reply_trees": OP2_SQL}
