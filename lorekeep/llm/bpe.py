@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a worker keeps in each of two generations; when the newer is full it becomes the older, which bounds memory
 #: and keeps frequent words.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 _RUN = re.compile(r"\s\s|\s\Z")
 #: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,./:;=>?@\[\\\]^_`{}~-]*)")
@@ -136,26 +136,23 @@ def id_type(path: str) -> np.dtype:
     return encoder(path).dtype
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", bounds: np.ndarray | None = None) -> DataFrame:
     """(key, ids): every whole text's ids, with end_id at the end, as little-endian binary of id_type(path) width.
 
-    A null text counts as empty. Rows are neither dropped nor merged, so repeated rows give repeated rows.
+    With bounds (ascending keys) also shard int: how many bounds are not above the key, -1 for a null key. A null text
+    counts as empty. Rows are neither dropped nor merged, so repeated rows give repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [enc.encode(t or b"") + end for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["k", "ids"])
+        for part in batches:
+            columns, names = [part.column(0), pa.array([enc.encode(t or b"") + end for t in part.column(1).to_pylist()], pa.binary())], ["k", "ids"]
+            if bounds is not None:
+                shards = [-1 if k is None else int(np.searchsorted(bounds, k, "right")) for k in part.column(0).to_pylist()]
+                columns, names = [*columns, pa.array(shards, pa.int32())], [*names, "shard"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, ids binary").withColumnRenamed("k", key)
-
-
-def crc_of(ids: Column) -> Column:
-    """Unsigned crc32 of a binary column."""
-    return F.crc32(ids)
+    return rows.mapInArrow(run, f"k {kind}, ids binary" + ", shard int" * (bounds is not None)).withColumnRenamed("k", key)

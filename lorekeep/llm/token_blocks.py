@@ -145,11 +145,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     bounds = np.array(shard_bounds(docs, key), np.int64)
     width = bpe.id_type(tokenizer_path)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [-1 if x is None else int(np.searchsorted(bounds, x, "right")) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), b.column(0), b.column(1)], names=["shard", "k", "ids"])
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
         at, number, before, held, size = None, 0, 0, [], 0
@@ -175,9 +170,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         if held:
             yield flush()
 
-    ids = bpe.encoded(docs, tokenizer_path, end_id, key, text)
-    kind = ids.schema[key].dataType.simpleString()
-    dealt = ids.mapInArrow(shard, f"shard int, k {kind}, ids binary").repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "k", "ids")
+    ids = bpe.encoded(docs, tokenizer_path, end_id, key, text, bounds).select("shard", F.col(key).alias("k"), "ids")
+    dealt = ids.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "k", "ids")
     dealt.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
