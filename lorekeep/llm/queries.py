@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, langid, packing, scaled_sketch, simhash, token_blocks, toxicity, word_table
+from . import chat_trees, langid, packing, pii, scaled_sketch, simhash, token_blocks, toxicity, word_table
 from .common import prepare, scratch_dir
 
 
@@ -62,6 +62,17 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op5_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     encoded = word_table.encode(read(spark, sf_dir, "documents"), path)
@@ -97,5 +108,5 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_report(read(spark, sf_dir, "documents"), words=5, fraction=1 / 8)
 
 
-QUERIES = {"op2_reply_trees": op2_reply_trees, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES = {"op2_reply_trees": op2_reply_trees, "op3_pii": op3_pii, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
 ORACLE_SQL: dict[str, str] = {"op2_reply_trees": OP2_SQL}
