@@ -26,7 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words a worker keeps in each of two generations; when the newer is full it becomes the older, which bounds memory
 #: and keeps frequent words.
 CACHE_WORDS = 200_000
-_RUN = re.compile(r"\s\s|\s\Z")
+#: Starts of the UTF-8 forms of white space beyond ASCII.
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,./:;=>?@\[\\\]^_`{}~-]*)")
 _LOADED: dict[str, "Encoder"] = {}
@@ -50,6 +51,11 @@ class _Words(dict):
         return found
 
 
+def _single(words: list, text) -> bool:
+    """Whether single blanks part the words, and none stands at an end."""
+    return sum(map(len, words)) + len(words) - 1 == len(text)
+
+
 def byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself where printable, else the next from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -77,13 +83,13 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind_of(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.letters, self.lower = self.tokenizer.model, byte_letters(), self.kind == "drop"
         self.parts = _Words(self.pretoken, limit)
         self.plain = _Words(self.word, limit)
-        self.spaced = _Words(lambda w: self.word(w, " "), limit)
+        self.spaced = _Words(self.after_blank, limit)
         self.newline = self.whole("\n") if self.kind == "attach" else b""
 
     def pretoken(self, part: str) -> bytes:
@@ -115,20 +121,27 @@ class Encoder:
             return b"".join(map(self.plain.__getitem__, text.split()))
         if self.kind == "whole":
             return self.whole(text)
-        s = text.decode("utf-8", "replace")
-        if _RUN.search(s) or any(x in s for x in self.special):
-            return self.whole(s)
-        out = []
-        for line in s.split("\n"):
-            first, *more = line.split(" ")
-            out.append(b"".join([self.plain[first], *map(self.spaced.__getitem__, more)]) if first or more else b"")
-        return self.newline.join(out)
+        words = text.split()
+        if not words or not _single(words, text) or any(x in text for x in self.special):
+            return self.whole(text)
+        if any(x in text for x in _WIDE):
+            s = text.decode("utf-8", "replace")
+            if not _single(s.split(), s):
+                return self.whole(text)
+        if text.count(b" ") != len(words) - 1:
+            words = text.replace(b"\n", b" \n").split(b" ")
+        rest = iter(words)
+        return b"".join((self.plain[next(rest)], *map(self.spaced.__getitem__, rest)))
+
+    def after_blank(self, word: bytes) -> bytes:
+        """ids of a word with the blank before it: a line feed where it starts with one, else a space."""
+        return self.newline + self.plain[word[1:]] if word[:1] == b"\n" else self.word(word, " ")
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:
     """One per worker process and tokenizer file."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, limit)
     return _LOADED[path]
 
 
@@ -136,7 +149,7 @@ def id_type(path: str) -> np.dtype:
     return encoder(path).dtype
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", bounds: np.ndarray | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", bounds: np.ndarray | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(key, ids): every whole text's ids, with end_id at the end, as little-endian binary of id_type(path) width.
 
     With bounds (ascending keys) also shard int: how many bounds are not above the key, -1 for a null key. A null text
@@ -144,7 +157,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cache_words)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for part in batches:
             columns, names = [part.column(0), pa.array([enc.encode(t or b"") + end for t in part.column(1).to_pylist()], pa.binary())], ["k", "ids"]

@@ -18,6 +18,8 @@ from . import bpe
 from .common import prepare
 
 GROUP_DOCS = 1024
+#: Words a worker keeps per generation; packing leaves room for more than the default.
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -77,6 +79,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int |
         names = [x.split()[0] for x in PIECES.split(", ")]
         return pa.table([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
-    ids = bpe.encoded(docs, tokenizer_path, end_id)
+    ids = bpe.encoded(docs, tokenizer_path, end_id, cache_words=CACHE_WORDS)
     dealt = ids.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(groups)).alias("grp"), "doc_id", "ids")
     return dealt.groupBy("grp").applyInArrow(group, PIECES)

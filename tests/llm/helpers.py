@@ -14,6 +14,6 @@ def docs(spark, texts, lang="en"):
 
 def awkward(seed=1, n=40):
     r = random.Random(seed)
-    letters = ["a", "b", "É", "é", "ß", "İ", " ", "\u0085", "\x1c", " ", "  ", "\n", "\n\n", "\t", "'s", "'ll", "12", "3.5", "<|endoftext|>", "<|startoftext|>", "漢字", "😀", "!?", "_", "​", "the ", "Word ", "Straße, ", "ÉTÉ. ", "e\u0301", "(x) ", "a-b ", "... ", "x*** ", "É$_&% ", "`{}~ ", "a[b]\\ "]
+    letters = ["a", "b", "É", "é", "ß", "İ", " ", "\u0085", "\x1c", " ", "  ", "\n", "\n\n", "\t", "'s", "'ll", "12", "3.5", "<|endoftext|>", "<|startoftext|>", "漢字", "😀", "\u00a0", "\u2003", "\u3000", "!?", "_", "​", "the ", "Word ", "Straße, ", "ÉTÉ. ", "e\u0301", "(x) ", "a-b ", "... ", "x*** ", "É$_&% ", "`{}~ ", "a[b]\\ "]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(n)]
     return [None, "", " ", "\n", "  x", "x  ", "a \n b", "x" * 5000, "word " * 3000, *texts, texts[0], texts[0]]
