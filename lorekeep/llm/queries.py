@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, langid, packing, pii, scaled_sketch, simhash, token_blocks, toxicity, word_table
+from . import chat_trees, cover_tree, langid, packing, pii, scaled_sketch, simhash, token_blocks, toxicity, word_table
 from .common import prepare, scratch_dir
 
 
@@ -73,6 +73,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     encoded = word_table.encode(read(spark, sf_dir, "documents"), path)
@@ -108,5 +112,5 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_report(read(spark, sf_dir, "documents"), words=5, fraction=1 / 8)
 
 
-QUERIES = {"op2_reply_trees": op2_reply_trees, "op3_pii": op3_pii, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES = {"op2_reply_trees": op2_reply_trees, "op3_pii": op3_pii, "op4_cover_tree": op4_cover_tree, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
 ORACLE_SQL: dict[str, str] = {"op2_reply_trees": OP2_SQL}
