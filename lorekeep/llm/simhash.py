@@ -53,16 +53,17 @@ def fingerprint_of(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the signed 64-bit fingerprint of the whole text; null and wordless texts have 0."""
+    """(doc_id, th, fp): fp is the signed 64-bit fingerprint of the whole text, th Spark's hash of it; null and wordless
+    texts have fp 0."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint_of(t or b"", shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint_of(t or b"", shingle, seed) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -182,7 +183,7 @@ def linked(fps: DataFrame, within: int = 2, parts: int = 3, group: int = GROUP)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, within: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links, the document itself included.
+    """(doc_id, th, fp, component_id): component_id is the smallest doc_id reachable by links, the document itself included.
 
     Equal fingerprints always link, so components are sought among distinct fingerprints. Null, empty and wordless
     texts share fingerprint 0 and link as any other. Repeated rows give repeated rows; null doc_ids are never a
@@ -195,4 +196,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, within: i
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = written(joined.join(least, "root").select("fp", "component_id"), "fingerprint-classes")
     drop_written(distinct, roots)
-    return docs_fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return docs_fps.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int = 2) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the least doc_id; all columns stay.
+
+    Rows with the same doc_id and text are one document, and of texts with the same doc_id one stays. Documents without
+    doc_id stay if no document with one is near them, each distinct text once.
+    """
+    found = near_duplicates(docs, shingle, seed, within).where("doc_id <=> component_id")
+    kept = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("th"))
+    kept = kept.unionByName(found.where("doc_id IS NULL").select("doc_id", "th").distinct()).alias("k")
+    rows = docs.withColumn("_th", F.xxhash64("text")).alias("d")
+    rows = rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._th") == F.col("k.th")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])

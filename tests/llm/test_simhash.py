@@ -67,7 +67,7 @@ def test_documents_with_copies_and_empty_texts(spark):
     long = " ".join(f"w{r.randint(0, 900)}" for _ in range(400))
     texts = ["", None, " \n", long, long + " end", "A b", "a B", long, "other words here entirely different", "漢字 漢字"]
     rows = [(9 - i, t) for i, t in enumerate(texts)] + [(9, "")]
-    got = sorted(tuple(x) for x in simhash.near_duplicates(docs(spark, rows).withColumnRenamed("source", "fp"), group=2).collect())
+    got = sorted((x.doc_id, x.fp, x.component_id) for x in simhash.near_duplicates(docs(spark, rows).withColumnRenamed("source", "fp"), group=2).collect())
     fp = {i: int(np.uint64(brute_fingerprint(t or "")).view(np.int64)) for i, t in rows}
     roots = components(sorted(set(fp.values())), lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 2)
     first = {}
@@ -81,3 +81,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 500), (501, None)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(301)) and got.get(500, 500) == 500
+
+
+def test_one_document_of_each_group_stays(spark):
+    r = random.Random(4)
+    long = " ".join(f"w{r.randint(0, 900)}" for _ in range(500))
+    rows = [(5, long), (3, long), (9, long + " x"), (3, long), (4, "a quite different text of some words"), (None, long), (None, "alone without id"), (None, "alone without id"), (7, None), (8, "")]
+    got = simhash.deduplicated(docs(spark, rows).withColumnRenamed("source", "fp"))
+    assert got.columns == ["doc_id", "text", "lang", "fp", "n_chars"]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, long), (4, "a quite different text of some words"), (None, "alone without id"), (7, None)], key=str)
