@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, weight:
 
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = labelled_sample(known, "toxic", per_label)
-    rows = docs.select("doc_id", "text").join(chosen.select("doc_id", "toxic"), "doc_id").select("toxic", "text")
+    few = F.broadcast(chosen.select("doc_id", "toxic"))  # about per_label rows of each label, however large the table
+    rows = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text")
     found = sorted(tuple(r) for r in rows.mapInArrow(sets, "toxic int, words string").collect())  # bounded by per_label
     return train([set(w.split()) for _, w in found], [int(t == 1) for t, _ in found], weight)
 
