@@ -24,6 +24,8 @@ from .common import prepare
 DIMENSIONS = 8192
 CENTROIDS = 4
 PER_LANGUAGE = 1000
+#: Clusters with a smaller share of their language's sample are odd texts and make no centroid.
+SMALLEST = 0.05
 #: A text is rejected below this share of the lowest cosine that the centroid has among its own sample texts.
 SLACK = 0.5
 _LETTERS: list[np.ndarray] = []
@@ -79,18 +81,16 @@ class Model:
         return lang, score, rejected
 
 
-def k_means(x: np.ndarray, k: int, seed: int = 1, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means of unit rows, from farthest-first starts."""
-    chosen = [int(np.argmax(x @ x.mean(0)))]
-    near = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    c = x[chosen]
+def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of unit rows, from rows that are evenly spread by their likeness to the mean."""
+    order = np.argsort(x @ x.mean(0), kind="stable")
+    k = min(k, len(x))
+    c = x[order[[int((i + 0.5) * len(x) / k) for i in range(k)]]]
     for _ in range(rounds):
         of = (x @ c.T).argmax(1)
         c = unit(np.stack([x[of == i].mean(0) if (of == i).any() else c[i] for i in range(len(c))]))
-    return c
+    share = np.bincount((x @ c.T).argmax(1), minlength=len(c)) / len(x)
+    return c[share >= min(SMALLEST, share.max())]
 
 
 def labelled_sample(docs: DataFrame, label: str, per_label: int) -> DataFrame:
