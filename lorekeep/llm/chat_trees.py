@@ -44,28 +44,35 @@ def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
     fields = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = messages.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min(fields).alias("m")).select("tree", "node", "m.*")
     nodes = written(nodes, "tree-nodes")
-    longest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    up = nodes.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth"))
-    levels = []
-    for _ in range(max(0, int(longest - 1)).bit_length() + 1):
-        levels.append(up)
-        far = up.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("depth").alias("_depth"))
-        joined = up.join(far, ["tree", "up"], "left")
-        up = written(
+    start = nodes.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth"))
+    rooted, climbing, levels = [start.where("up IS NULL")], start.where("up IS NOT NULL"), []
+    for _ in range(nodes.count().bit_length() + 1):  # nodes that still climb after that are on or below a cycle
+        if climbing.isEmpty():
+            break
+        levels.append(climbing.select("tree", "node", "up"))
+        whole = climbing
+        for table in rooted:
+            whole = whole.unionByName(table)
+        far = whole.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("depth").alias("_depth"))
+        joined = climbing.join(far, ["tree", "up"], "left")
+        step = written(
             joined.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")),
             "tree-ancestors",
         )
+        rooted, climbing = [*rooted, step.where("up IS NULL")], step.where("up IS NOT NULL")
+    ends = rooted[0]
+    for table in rooted[1:]:
+        ends = ends.unionByName(table)
     parents = nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = up.where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+    leaves = ends.join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     chosen = leaves.select("tree", F.col("node").alias("leaf"), rank.alias("rank"))
     chosen = chosen if per_tree is None else chosen.where(F.col("rank") <= per_tree)
-    on_path = chosen.withColumn("node", F.col("leaf"))
-    for level in levels:  # after k levels, the nodes less than 2^k above the leaf
-        step = level.where("up IS NOT NULL").select("tree", "node", "up")
-        both = F.when(F.col("up").isNull(), F.array("node")).otherwise(F.array("node", "up"))
-        on_path = on_path.join(step, ["tree", "node"], "left").select("tree", "leaf", "rank", F.explode(both).alias("node"))
-    found = nodes.select("tree", "node", "role", "text").join(up.select("tree", "node", "depth"), ["tree", "node"])
+    on_path = written(chosen.withColumn("node", F.col("leaf")), "tree-paths")
+    for level in levels:  # after k levels, the nodes less than 2^k above the leaf; only paths that go on get new rows
+        more = on_path.join(level, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
+        on_path = on_path.unionByName(written(more, "tree-paths"))
+    found = nodes.select("tree", "node", "role", "text").join(ends.select("tree", "node", "depth"), ["tree", "node"])
     return on_path.join(found, ["tree", "node"]).select("tree", "leaf", "rank", "depth", "role", "text")
 
 
