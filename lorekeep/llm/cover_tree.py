@@ -42,10 +42,15 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nested nodes over the rows of x. centre[i], cover[i], and the children or the points of node i."""
+    """Nested nodes over the rows of x. centre[i], cover[i], and the children or the points of node i.
 
-    def __init__(self, x: np.ndarray):
-        self.x, self.centre, self.cover, self.children, self.points = x, [], [], [], []
+    Levels whose net would part nearly all points are passed over down to the radius ``fine``: in many dimensions most
+    vectors are alone at any useful radius, and then only the tight groups among them are worth a node.
+    """
+
+    def __init__(self, x: np.ndarray, fine: float = 0.1):
+        self.x, self.fine = x, fine
+        self.centre, self.cover, self.children, self.points = [], [], [], []
         self.root = self._node(0, np.arange(len(x)), np.sqrt(np.maximum(2 - 2 * (x @ x[0]), 0)), 2.0)
 
     def _node(self, centre: int, points: np.ndarray, far: np.ndarray, radius: float) -> int:
@@ -59,16 +64,13 @@ class Tree:
             at, points, far, radius = stack.pop()
             if len(points) <= LEAF or far.max() <= SLACK:
                 continue
-            while radius >= far.max() and radius > SLACK:
+            while radius >= far.max():
                 radius /= 2
-            left, d, first, made = points, far, self.centre[at], []
-            while len(left):  # nested: the node's own centre is its first child
-                near = d <= radius
-                made.append((first, left[near], d[near]))
-                left = left[~near]
-                if len(left):
-                    first = int(left[0])
-                    d = np.sqrt(np.maximum(2 - 2 * (self.x[left] @ self.x[first]), 0))
+            made = self._net(self.centre[at], points, far, radius)
+            if len(made) > len(points) / 2 and radius > 2 * self.fine:  # a level that parts nearly all points says nothing
+                while radius > self.fine:
+                    radius /= 2
+                made = self._net(self.centre[at], points, far, radius)
             for c, p, f in made:
                 child = len(self.centre)
                 self.centre.append(c)
@@ -79,6 +81,18 @@ class Tree:
                 stack.append((child, p, f, radius))
         return i
 
+    def _net(self, centre: int, points: np.ndarray, far: np.ndarray, radius: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(centre, points, their distances) of a greedy net; the node's own centre is its first child, as in nested levels."""
+        left, d, first, made = points, far, centre, []
+        while len(left):
+            near = d <= radius
+            made.append((first, left[near], d[near]))
+            left = left[~near]
+            if len(left):
+                first = int(left[0])
+                d = np.sqrt(np.maximum(2 - 2 * (self.x[left] @ self.x[first]), 0))
+        return made
+
 
 class Links:
     """Counts of linked vectors by class of either side, and a spanning forest of the links."""
@@ -135,7 +149,8 @@ def traverse(a: Tree, b: Tree, many_a: np.ndarray, many_b: np.ndarray, cosine: f
             some = down_p[at : at + STRIP]
             near = a.x[[a.centre[c] for c in some]] @ right.T
             single = np.logical_and.outer([len(a.points[c]) == 1 for c in some], lone_q)
-            u, v = np.nonzero(single & (near >= cosine))
+            u, v = np.nonzero(near >= cosine)
+            u, v = u[single[u, v]], v[single[u, v]]
             if len(u):
                 link(np.array([a.centre[some[s]] for s in u]), np.array([b.centre[down_q[t]] for t in v]))
             u, v = np.nonzero(~single)
@@ -204,7 +219,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK,
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls").combine_chunks()
         x = unit(np.stack(_floats(table.column("v").chunk(0))))
-        tree = Tree(x)
+        tree = Tree(x, r / 4)
         data = pickle.dumps((x, tree.centre, tree.cover, tree.children, tree.points, table.column("cls").to_numpy(), table.column("many").to_numpy()), protocol=5)
         return pa.table([table.column("dim")[:1], table.column("cell")[:1], table.column("part")[:1], pa.array([data], pa.binary())], names=["dim", "cell", "part", "tree"])
 
