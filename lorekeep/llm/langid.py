@@ -23,7 +23,7 @@ from .common import prepare
 
 DIMENSIONS = 8192
 CENTROIDS = 4
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 600
 #: Clusters with a smaller share of their language's sample are odd texts and make no centroid.
 SMALLEST = 0.05
 #: A text is rejected below this share of the lowest cosine that the centroid has among its own sample texts.
@@ -118,13 +118,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIM
             )
 
     rows = labelled_sample(docs.where("lang IS NOT NULL").select("doc_id", "lang", "text"), "lang", per_language).select("lang", "text")
-    found = sorted(tuple(r) for r in rows.mapInArrow(featurize, "lang string, at binary, n binary").collect())
+    found = sorted(tuple(r) for r in rows.mapInArrow(featurize, "lang string, at binary, n binary").collect())  # bounded by per_language
     languages = sorted({r[0] for r in found})
     x = np.zeros((len(found), dimensions), np.float32)
     for i, (_, at, n) in enumerate(found):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
     idf = (np.log((1 + len(found)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = unit(np.log1p(x, out=x) * idf)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     of, parts, owner, limit = np.array([languages.index(r[0]) for r in found], int), [], [], []
     for k in range(len(languages)):
         own = x[of == k]

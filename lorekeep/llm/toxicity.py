@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .langid import _with, labelled_sample
 
-PER_LABEL = 4000
+PER_LABEL = 2500
 WEIGHT = 1.0
 MIN_DOCS = 5
+HASH_BITS = 22
 #: Least log-likelihood ratio of a feature's counts by label; chance exceeds it once in two million features.
 EVIDENCE = 25.0
 #: Identity terms by kind; a counterfactual swaps a term for the next one of its row.
@@ -82,6 +83,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def evidence(a: int, b: int, n1: float, n0: float) -> float:
+    """Log-likelihood ratio of a feature in a of n1 and b of n0 texts."""
+    p = (a + b) / (n1 + n0)
+    return 2 * sum(k * np.log(k / (n * q)) for k, n, q in ((a, n1, p), (b, n0, p), (n1 - a, n1, 1 - p), (n0 - b, n0, 1 - p)) if k > 0)
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) >> (32 - HASH_BITS)
+
+
 def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature number and row number of each feature of each text, once a text for each word that has it."""
     at, row = [], []
@@ -108,17 +119,19 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model(8.0 if n1 and not n0 else -8.0, {})
+    # A first count by hash, in fixed memory, says which features can have the evidence; only those are counted by name.
+    rough = np.zeros((2, 1 << HASH_BITS), np.int32)
+    for s, label in zip(texts, labels, strict=True):
+        rough[label][list({_bucket(f) for w in s for f in features(w)})] += 1
+    likely = rough.sum(0) >= min_docs
     pos, neg = Counter(), Counter()
     for s, label in zip(texts, labels, strict=True):
-        (pos if label else neg).update({f for w in s for f in features(w)})
+        (pos if label else neg).update({f for w in s for f in features(w) if likely[_bucket(f)]})
     kept = []
     for f in pos.keys() | neg.keys():
         a, b = pos[f], neg[f]
-        if a + b >= min_docs:
-            p = (a + b) / (n1 + n0)
-            llr = 2 * sum(k * np.log(k / (n * q)) for k, n, q in ((a, n1, p), (b, n0, p), (n1 - a, n1, 1 - p), (n0 - b, n0, 1 - p)) if k > 0)
-            if llr > EVIDENCE or f in _SWAP:
-                kept.append(f)
+        if a + b >= min_docs and (f in _SWAP or evidence(a, b, n1, n0) > EVIDENCE):
+            kept.append(f)
     kept.sort()
     index = {f: i for i, f in enumerate(kept)}
     at, row = _rows(texts, index)
