@@ -30,20 +30,27 @@ STEPS = (
 )
 
 
-def stem(word: Column) -> Column:
-    out = word
-    for step in STEPS:
-        new = out
-        for rule, to in reversed(step):
-            new = F.when(out.rlike(rule), F.regexp_replace(out, rule, to)).otherwise(new)
-        out = new
-    return F.when(F.length(word) > 2, out).otherwise(word)
+def stems(tokens: Column) -> Column:
+    """The stem of each token. A step is a pass over the array, so that each step sees one evaluated word."""
+
+    def step(rules) -> Column:
+        def one(w: Column) -> Column:
+            out = w
+            for rule, to in reversed(rules):
+                out = F.when(w.rlike(rule), F.regexp_replace(w, rule, to)).otherwise(out)
+            return F.when(F.length(w) > 2, out).otherwise(w)
+
+        return one
+
+    for rules in STEPS:
+        tokens = F.transform(tokens, step(rules))
+    return tokens
 
 
 def stem_word(word: str) -> str:
-    if len(word) <= 2:
-        return word
     for step in STEPS:
+        if len(word) <= 2:
+            break
         for rule, to in step:
             m = _behind(rule, word)
             if m is not None:
@@ -71,7 +78,7 @@ def words(text: Column) -> Column:
 def analysed(text: Column) -> Column:
     """Stems in order, stopwords left out; phrases are sought in this sequence."""
     stop = F.array(*[F.lit(w) for w in STOP])
-    return F.transform(F.filter(words(text), lambda t: ~F.array_contains(stop, t)), stem)
+    return stems(F.filter(words(text), lambda t: ~F.array_contains(stop, t)))
 
 
 @dataclass(frozen=True)

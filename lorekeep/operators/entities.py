@@ -96,7 +96,7 @@ def merge(state: dict[str, DataFrame], winner: str, loser: str, now, note: str |
     ends = F.sum(F.when(F.col("dropped").isNull(), is_loser("source_entity_id").cast("int") + is_loser("target_entity_id").cast("int")).otherwise(0))
     outcome = outcome.join(one(moved, relationships_repointed=F.coalesce(ends, F.lit(0)), relationships_dropped=F.count("dropped"))).join(one(entities, descendants_flattened=F.count_if(below)))
     return state | {
-        "entities": new_entities, "entity_aliases": aliases.where(~is_loser("entity_id")).unionByName(added), "atomic_units": new_units, "relationships": kept,
+        "entities": new_entities, "entity_aliases": aliases.where(~is_loser("entity_id")).unionByName(added), "atomic_units": new_units, "relationships": schema.settled(kept),
         "entity_merge_audit": state["entity_merge_audit"].unionByName(schema.conform(audit, "entity_merge_audit")),
     }, outcome.select(w.alias("winner_id"), F.lit(loser).alias("loser_id"), "*")
 

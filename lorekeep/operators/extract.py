@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def segments(docs: DataFrame, text: str = "text", limit: int = MAX_SEGMENT_BYTES
     over it is cut between characters. The fold over a text's paragraphs depends on its own output, so it is one Arrow
     pass; nothing is shuffled.
     """
-    import pandas as pd
-
     from lorekeep.functions.segmenting import segment_text
 
     @F.pandas_udf("array<struct<heading:string,content:string>>")
@@ -143,9 +142,9 @@ def resolve_names(state: dict[str, DataFrame], names: DataFrame, now) -> tuple[d
     found = found.withColumn("entity_id", F.coalesce("by_name", "by_alias", "new_id"))
     fresh = found.where("by_name IS NULL AND by_alias IS NULL")
     added = fresh.select(F.col("new_id").alias("id"), "name", F.when(F.col("name") == "Me", "person").otherwise("other").alias("kind"), F.lit(now).cast("timestamp").alias("created_at"))
-    added = schema.conform(added, "entities")
+    added = schema.conform(added, "entities").join(entities.select("id"), "id", "left_anti").select(*entities.columns)
     out = wanted.join(found.select("key", "entity_id"), "key").select("name", "entity_id").distinct()
-    return state | {"entities": entities.unionByName(added.join(entities.select("id"), "id", "left_anti").select(*entities.columns))}, out
+    return state | {"entities": entities.unionByName(schema.settled(added))}, schema.settled(out)
 
 
 def persist_units(state: dict[str, DataFrame], units: DataFrame, now, method: str = "rule_based", model: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -154,13 +153,14 @@ def persist_units(state: dict[str, DataFrame], units: DataFrame, now, method: st
     Units are told apart by the hash of their normalised statement; the first (by source time, anchor, offset) fixes all
     fields, later ones only add provenance. Edges come with first assertions that have a subject; self loops are dropped.
     """
-    units = with_confidence(units).withColumn("statement_hash", X.sha256_hex(X.normalize_statement("statement")))
+    units = schema.settled(with_confidence(units).withColumn("statement_hash", X.sha256_hex(X.normalize_statement("statement"))))
     state, ids = resolve_names(state, units.select(F.col("subject").alias("name")).union(units.select("object")).where("name IS NOT NULL"), now)
     ids = ids.select(F.lower("name").alias("k"), "entity_id").distinct()
     units = units.withColumn("sk", F.lower(X.trimmed("subject"))).withColumn("ok", F.lower(X.trimmed("object")))
     units = units.join(ids.select(F.col("k").alias("sk"), F.col("entity_id").alias("subject_entity_id")), "sk", "left").join(ids.select(F.col("k").alias("ok"), F.col("entity_id").alias("object_entity_id")), "ok", "left")
     order = Window.partitionBy("statement_hash").orderBy(F.col("source_time").asc_nulls_last(), "anchor_id", "char_start")
     ranked = units.withColumn("_rank", F.row_number().over(order)).withColumn("unit_id", X.uuid_of("unit", F.col("statement_hash")))
+    ranked = schema.settled(ranked)
     first = ranked.where("_rank = 1").join(state["atomic_units"].select("statement_hash"), "statement_hash", "left_anti")
     stamp = F.lit(now).cast("timestamp")
     attrs = F.struct(*[(F.col(c) if c in units.columns else F.lit(None).cast("boolean" if c == "negated" else "string")).alias(c) for c in ("pattern", "value", "unit", "verb", "negated", "date")])
@@ -196,8 +196,6 @@ def extraction_pass(state: dict[str, DataFrame], now, processed: DataFrame | Non
 def embed_pending(rows: DataFrame, text: str, embedder: Callable, size: int) -> DataFrame:
     """EXT-18, ENT-12, SRC-24: rows whose embedding is null get one; embedder takes a list of texts and must answer each
     with a vector of the size, else the batch fails."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         found = embedder(texts.tolist())

@@ -119,5 +119,5 @@ def path_walk_sql(root: str, max_depth: int) -> str:
     """GRAPH-02 as SQL over a view und(node, other): the node set by a recursive walk, for checking levels()."""
     return f"""
         WITH RECURSIVE walk(node, lvl) AS (
-          SELECT '{root}', 0 UNION SELECT und.other, walk.lvl + 1 FROM walk JOIN und ON und.node = walk.node WHERE walk.lvl < {max_depth - 1}
+          SELECT '{root}', 0 UNION ALL SELECT und.other, walk.lvl + 1 FROM walk JOIN und ON und.node = walk.node WHERE walk.lvl < {max_depth - 1}
         ) SELECT node, min(lvl) AS lvl FROM walk GROUP BY node"""

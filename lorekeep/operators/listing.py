@@ -45,7 +45,7 @@ def list_units(state: dict[str, DataFrame], kind=None, status=None, subject_enti
     """FLT-02, JOIN-17, SRT-02: newest first, each with its count of provenance rows."""
     rows = page(_equal(state["atomic_units"], kind=kind, status=status, subject_entity_id=subject_entity_id).drop("embedding"), [F.desc("created_at"), "id"], limit, offset)
     counts = state["atomic_unit_provenance"].join(rows.select(F.col("id").alias("atomic_unit_id")), "atomic_unit_id", "left_semi").groupBy(F.col("atomic_unit_id").alias("id")).agg(F.count("*").alias("provenance_count"))
-    return rows.join(counts, "id", "left").withColumn("provenance_count", F.coalesce("provenance_count", F.lit(0)))
+    return rows.join(counts, "id", "left").withColumn("provenance_count", F.coalesce("provenance_count", F.lit(0))).orderBy(F.desc("created_at"), "id")
 
 
 def with_provenance(state: dict[str, DataFrame], units: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def list_contradictions(state: dict[str, DataFrame], status=None, limit=None, of
     """FLT-03, JOIN-04, SRT-03, CON-12: by score, with both statements."""
     rows = page(_equal(state["contradictions"], status=status), [F.desc("score"), F.desc("detected_at"), "id"], limit, offset)
     side = lambda s: state["atomic_units"].select(F.col("id").alias(f"unit_{s}_id"), F.col("statement").alias(f"statement_{s}"), F.col("status").alias(f"status_{s}"))
-    return rows.join(side("a"), "unit_a_id").join(side("b"), "unit_b_id")
+    return rows.join(side("a"), "unit_a_id").join(side("b"), "unit_b_id").orderBy(F.desc("score"), F.desc("detected_at"), "id")
 
 
 def list_entities(state: dict[str, DataFrame], q=None, kind=None, limit=None, offset=None, include_merged=False) -> DataFrame:
@@ -73,7 +73,7 @@ def list_entities(state: dict[str, DataFrame], q=None, kind=None, limit=None, of
     aliases = state["entity_aliases"].groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("alias_count"))
     ends = state["relationships"].select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("id")).join(few, "id", "left_semi").groupBy("id").agg(F.count("*").alias("edge_count"))
     out = rows.join(aliases, "id", "left").join(ends, "id", "left")
-    return out.withColumn("alias_count", F.coalesce("alias_count", F.lit(0))).withColumn("edge_count", F.coalesce("edge_count", F.lit(0)))
+    return out.withColumn("alias_count", F.coalesce("alias_count", F.lit(0))).withColumn("edge_count", F.coalesce("edge_count", F.lit(0))).orderBy("name", "id")
 
 
 def get_one(rows: DataFrame, id_: str, what: str) -> DataFrame:

@@ -49,7 +49,8 @@ def resolve_all(state: dict[str, DataFrame], decisions: DataFrame, now, actor: s
     edges = state["relationships"].join(lost.select(F.col("id").alias("atomic_unit_id"), F.lit(True).alias("_lost")), "atomic_unit_id", "left")
     edges = edges.withColumn("status", F.when(F.col("_lost"), "superseded").otherwise(F.col("status"))).select(*state["relationships"].columns)
     audit = _audit(state, ruled, "resolve", actor, F.col("note"), now, F.lit("open"), F.col("resolution"))
-    return state | {"contradictions": contradictions, "atomic_units": units, "relationships": edges, "contradiction_audit": audit}
+    changed = {"contradictions": contradictions, "atomic_units": units, "relationships": edges, "contradiction_audit": audit}
+    return state | {name: schema.settled(df) for name, df in changed.items()}
 
 
 def resolve(state: dict[str, DataFrame], id_: str, resolution: str, now, note: str | None = None, actor: str = "local-user") -> dict[str, DataFrame]:

@@ -134,6 +134,7 @@ def scan(state: dict[str, DataFrame], now, threshold: float = THRESHOLD, k: int
         X.uuid_of("contradiction", F.col("unit_a_id"), F.col("unit_b_id")).alias("id"), "unit_a_id", "unit_b_id", "score", F.col("method").alias("detection_method"), "explanation", F.lit("open").alias("status"), stamp.alias("detected_at")
     )
     new = schema.conform(rows, "contradictions").join(state["contradictions"].select("unit_a_id", "unit_b_id"), ["unit_a_id", "unit_b_id"], "left_anti").select(*state["contradictions"].columns)
+    new = schema.settled(new)
     audit = new.select(X.uuid_of("audit", F.col("id"), "detected").alias("id"), F.col("id").alias("contradiction_id"), F.lit("detected").alias("action"), F.lit("scanner").alias("actor"), F.lit("open").alias("to_status"), F.col("explanation").alias("note"), stamp.alias("created_at"))
     done = F.when(F.col("contradiction_scanned_at").isNull() & (F.col("status") == "active"), stamp).otherwise(F.col("contradiction_scanned_at"))
     return state | {

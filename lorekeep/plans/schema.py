@@ -60,7 +60,15 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def append_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """MUT-01, JOIN-16: existing and those rows whose key it does not have; of rows with one key the first by id stays."""
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[rows[c] for c in rows.columns]), rows["id"]).alias("row")).select("row.*")
-    return existing.unionByName(first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*existing.columns))
+    fresh = first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*existing.columns)
+    return existing.unionByName(settled(fresh))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A written copy: what a mutation adds or rewrites is stored, so the plans of a long run of mutations stay small."""
+    from lorekeep.plans.store import checkpointed
+
+    return checkpointed(df)
 
 
 def _rules(table: str) -> dict[str, Column]:

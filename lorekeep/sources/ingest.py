@@ -45,7 +45,7 @@ def store_artifacts(state: dict[str, DataFrame], incoming: DataFrame, now, job:
     rows = rows.withColumn("deduplicated", F.coalesce("_known", F.lit(False)) | (order != F.col("_first"))).drop("_known", "_first")
     new = rows.where(~F.col("deduplicated")).dropDuplicates(["content_hash"]).withColumn("id", F.col("artifact_id")).withColumn("raw_content", F.col("content"))
     new = new.withColumn("byte_size", F.octet_length("content").cast("bigint")).withColumn("version", F.lit(1)).withColumn("ingested_at", F.lit(now).cast("timestamp")).withColumn("ingestion_job_id", F.lit(job).cast("string"))
-    return state | {"artifacts": state["artifacts"].unionByName(schema.conform(new, "artifacts"))}, rows
+    return state | {"artifacts": state["artifacts"].unionByName(schema.settled(schema.conform(new, "artifacts")))}, rows
 
 
 def persist_conversations(state: dict[str, DataFrame], normalized: DataFrame, platform: str) -> dict[str, DataFrame]:
@@ -117,7 +117,7 @@ def ingest_files(state: dict[str, DataFrame], files: DataFrame, now) -> tuple[di
     fresh = kept.where(~F.col("deduplicated"))
     docs = fresh.where(F.col("kind").startswith("document_")).withColumn("id", X.uuid_of("document", F.col("artifact_id")))
     plain = F.col("kind").isin("document_text", "document_markdown")
-    docs = docs.withColumn("extracted_text", F.when(plain, F.decode("content", "UTF-8"))).withColumn("extraction_status", F.when(plain, "completed").otherwise("pending")).withColumn("extraction_tool", F.when(plain, "utf8"))
+    docs = docs.withColumn("extracted_text", F.when(plain, F.make_valid_utf8(F.col("content").cast("string")))).withColumn("extraction_status", F.when(plain, "completed").otherwise("pending")).withColumn("extraction_tool", F.when(plain, "utf8"))
     cut = segments(docs.where(plain).select(F.col("id").alias("document_id"), "extracted_text"), "extracted_text")
     cut = cut.withColumn("id", X.uuid_of("segment", F.col("document_id"), F.col("seq"))).withColumn("content_hash", X.sha256_hex("content"))
     images = fresh.where(F.col("kind").startswith("image_")).withColumn("id", X.uuid_of("image", F.col("artifact_id"))).withColumn("ocr_status", F.lit("pending"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def parse_ocr_tsv(lines: DataFrame) -> DataFrame:
 
 def _applied(rows: DataFrame, fn: Callable[[bytes], dict], out: str) -> DataFrame:
     """rows with column r, a struct of the type given; a failing call leaves only r.error."""
-    import pandas as pd
-
     @F.pandas_udf(out)
     def run(contents: pd.Series) -> pd.DataFrame:
         made = []
