@@ -30,6 +30,7 @@ CACHE_WORDS = 200_000
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,./:;=>?@\[\\\]^_`{}~-]*)")
+_MARKS = frozenset(bytes([c]) for c in b'!"#$%&()*+,./:;=>?@[\\]^_`{}~-')
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -87,27 +88,35 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.letters, self.lower = self.tokenizer.model, byte_letters(), self.kind == "drop"
+        self.space = chr(self.letters[0x20])
         self.parts = _Words(self.pretoken, limit)
         self.plain = _Words(self.word, limit)
         self.spaced = _Words(self.after_blank, limit)
         self.newline = self.whole("\n") if self.kind == "attach" else b""
 
-    def pretoken(self, part: str) -> bytes:
-        mapped = part if part.isascii() and " " not in part else part.encode().decode("latin-1").translate(self.letters)
+    def pretoken(self, part: bytes) -> bytes:
+        """ids of one pre-token, with the space before it if it has one."""
+        if part.isascii():
+            mapped = self.space + part[1:].decode() if part[:1] == b" " else part.decode()
+        else:
+            mapped = part.decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def word(self, word: str | bytes, before: str = "") -> bytes:
+    def word(self, word: bytes, before: bytes = b"") -> bytes:
         """ids of a word; simple ones skip the library's normalizer and pre-tokenizer, which would not change them."""
-        if isinstance(word, bytes):
-            word = word.decode("utf-8", "replace")
-        simple = _SIMPLE.fullmatch(word)
-        if not simple:
-            return self.whole(before + word)
-        name, mark = simple.groups()
-        if self.lower:
+        if word.isalpha():  # ASCII letters, as these are bytes
+            return self.parts[before + (word.lower() if self.lower else word)]
+        name, mark = word[:-1], word[-1:]
+        if not (name.isalpha() and mark in _MARKS):
+            text = word.decode("utf-8", "replace")
+            simple = _SIMPLE.fullmatch(text)
+            if not simple:
+                return self.whole(before.decode() + text)
+            if not simple[1]:
+                return self.parts[before + word] if before + word else b""
+            name, mark = (simple[1].lower() if self.lower else simple[1]).encode(), simple[2].encode()
+        elif self.lower:
             name = name.lower()
-        if not name:
-            return self.parts[before + mark] if before + mark else b""
         return self.parts[before + name] + self.parts[mark] if mark else self.parts[before + name]
 
     def whole(self, text: str | bytes) -> bytes:
@@ -135,7 +144,7 @@ class Encoder:
 
     def after_blank(self, word: bytes) -> bytes:
         """ids of a word with the blank before it: a line feed where it starts with one, else a space."""
-        return self.newline + self.plain[word[1:]] if word[:1] == b"\n" else self.word(word, " ")
+        return self.newline + self.plain[word[1:]] if word[:1] == b"\n" else self.word(word, b" ")
 
 
 def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:

@@ -30,17 +30,12 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lorekeep-')}"
-        spark.conf.set("spark.checkpoint.dir", base) if _settable(spark) else None
-        spark._lorekeep_scratch = getattr(spark, "_lorekeep_scratch", base)
+        if not hasattr(spark, "_lorekeep_scratch"):
+            spark._lorekeep_scratch = f"file://{tempfile.mkdtemp(prefix='lorekeep-')}"
         base = spark._lorekeep_scratch
     return base
 
 
-def _settable(spark: SparkSession) -> bool:
-    return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-
-
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the scratch folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
