@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lorekeep.plans import schema
 FUNCTIONAL = ("lives_in", "works_at", "is", "decided_on")
 BASE = {"rule:numeric-mismatch": 0.80, "rule:negation": 0.75, "rule:exclusive-assignment": 0.70, "rule:antonym": 0.60}
 NEAREST, MAX_DISTANCE, THRESHOLD = 25, 0.35, 0.65
+VECTORS = 2048
 
 
 def facts(units: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -36,26 +39,50 @@ def subject_pairs(units: DataFrame, probes: DataFrame, k: int = NEAREST) -> Data
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "other", F.lit(0).alias("source"), "rank")
 
 
-def nearest_pairs(units: DataFrame, probes: DataFrame, k: int = NEAREST, max_distance: float = MAX_DISTANCE, cells: int = 0) -> DataFrame:
+def nearest_pairs(units: DataFrame, probes: DataFrame, k: int = NEAREST, max_distance: float = MAX_DISTANCE, block: int = VECTORS) -> DataFrame:
     """JOIN-08, WIN-06: (probe, other, cos) with the k nearest units within max_distance of each probe, exactly.
 
-    Unit vectors at cosine distance d are sqrt(2 d) apart, so none of their components differs by more. The first
-    components are cut into bands of that width: a unit is dealt to its band, and a probe to its own and the two beside
-    it, which makes an equi-join that loses no pair.
+    Vectors are dealt by hash to blocks of about ``block``, and pairs of blocks are compared as matrix products, in double
+    precision. A pair of blocks gives each probe its k best there and no more, so what is shuffled afterwards is k rows a
+    probe and block. Vectors of unequal size do not meet; null and zero vectors meet nothing.
     """
-    width = (2 * max_distance) ** 0.5
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / X.norm(v))
-    axes = cells or 2
-    ready = lambda df, name: df.where(F.col("embedding").isNotNull() & (X.norm(F.col("embedding")) > 0)).select(F.col("id").alias(name), unit(F.col("embedding")).alias(f"v_{name}"))
-    band = lambda v, i: F.floor(F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)) / width).cast("int")
-    right = ready(units, "other").withColumn("cell", F.array(*[band(F.col("v_other"), i) for i in range(axes)]))
-    left = ready(probes, "probe")
-    for i in range(axes):
-        left = left.withColumn(f"c{i}", F.explode(F.sequence(band(F.col("v_probe"), i) - 1, band(F.col("v_probe"), i) + 1)))
-    left = left.withColumn("cell", F.array(*[F.col(f"c{i}") for i in range(axes)])).drop(*[f"c{i}" for i in range(axes)])
-    pairs = left.join(right, "cell").where("probe <> other").where(F.size("v_probe") == F.size("v_other")).withColumn("cos", X.dot(F.col("v_probe"), F.col("v_other"))).where(1 - F.col("cos") < max_distance)
+    kind = units.schema["id"].dataType.simpleString()
+
+    def blocks(df: DataFrame, n: int, out: str) -> DataFrame:
+        rows = df.where(F.col("embedding").isNotNull() & (X.norm(F.col("embedding")) > 0)).select("id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim"))
+        held = rows.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias(out)).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+        return held.select("dim", out, F.transform("rows", lambda r: r["id"]).alias(f"{out}_ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{out}_v"))
+
+    def matrix(ids, flat) -> np.ndarray:
+        x = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for left_ids, left, right_ids, right in zip(*(b.column(i) for i in range(4)), strict=True):
+                mine, others = np.array(left_ids.as_py()), np.array(right_ids.as_py())
+                x, y = matrix(mine, left), matrix(others, right)
+                by_id = np.argsort(others, kind="stable")
+                others, y = others[by_id], y[by_id]
+                for at in range(0, len(mine), 512):
+                    cos = x[at : at + 512] @ y.T
+                    cos[mine[at : at + 512, None] == others[None]] = -2
+                    i, j = np.nonzero(1 - cos < max_distance)
+                    order = np.lexsort((j, -cos[i, j], i))
+                    i, j = i[order], j[order]
+                    near = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[near], j[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[at + i].tolist(), b.column(0).type.value_type), pa.array(others[j].tolist(), b.column(0).type.value_type), pa.array(cos[i, j])], names=["probe", "other", "cos"])
+
+    total = units.where("embedding IS NOT NULL").count()
+    if not total:
+        return units.sparkSession.createDataFrame([], f"probe {kind}, other {kind}, cos double, source int, rank int")
+    n = -(-total // block)
+    left = blocks(probes, max(1, -(-probes.count() // block)), "l").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    met = left.join(blocks(units, n, "r"), ["dim", "r"]).select("l_ids", "l_v", "r_ids", "r_v")
+    pairs = met.mapInArrow(compare, f"probe {kind}, other {kind}, cos double")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cos"), "other"))
-    return pairs.select("probe", "other", "cos").withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "other", "cos", F.lit(1).alias("source"), "rank")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "other", "cos", F.lit(1).alias("source"), "rank")
 
 
 def candidates(units: DataFrame, probes: DataFrame, k: int = NEAREST, max_distance: float = MAX_DISTANCE) -> DataFrame:

@@ -70,16 +70,17 @@ def test_ingest_extract_scan_and_review(spark, tmp_path):
     assert extract.extraction_pass(state, NOW, done)[1].count() == 0
     state, new = scan.scan(state, NOW)
     row = new.first()
-    assert new.count() == 1 and row.detection_method == "rule:numeric-mismatch" and ("40 vs 90" in row.explanation or "90 vs 40" in row.explanation) and row.score == pytest.approx(0.8 * (0.6 + 0.4 * 4 / 6), abs=1e-6)
+    assert new.count() == 1 and row.detection_method == "rule:numeric-mismatch" and ("40 vs 90" in row.explanation or "90 vs 40" in row.explanation) and row.score == pytest.approx(0.8 * (0.6 + 0.4 * 3 / 5), abs=1e-6)
     folder = f"file://{tmp_path}/store"
     store.save(state, folder)
     state = store.load(spark, folder)
     assert scan.scan(state, NOW)[1].count() == 0
-    state = review.resolve(state, row.id, "resolved_a", NOW, note="newer")
+    later = NOW + dt.timedelta(hours=1)
+    state = review.resolve(state, row.id, "resolved_a", later, note="newer")
     with pytest.raises(listing.BadRequestError):
         review.resolve(state, row.id, "resolved_a", NOW)
     lost = state["atomic_units"].where("status = 'superseded'").first()
-    assert lost.id == row.unit_b_id and lost.superseded_by_unit_id == row.unit_a_id and lost.valid_to == NOW
+    assert lost.id == row.unit_b_id and lost.superseded_by_unit_id == row.unit_a_id and lost.valid_to == later
     state = review.annotate(state, row.id, "checked", NOW + dt.timedelta(1))
     detail = review.detail(state, row.id).first()
     assert [a.action for a in detail.audit] == ["detected", "resolve", "annotate"] and detail.unit_a.statement != detail.unit_b.statement
