@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a worker keeps in each of two generations; when the newer is full it becomes the older, which bounds memory
 #: and keeps frequent words.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 350_000
 #: Starts of the UTF-8 forms of white space beyond ASCII.
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
@@ -89,8 +89,8 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.letters, self.lower = self.tokenizer.model, byte_letters(), self.kind == "drop"
         self.space = chr(self.letters[0x20])
-        self.parts = _Words(self.pretoken, limit)
-        self.plain = _Words(self.word, limit)
+        self.marks = _Words(self.pretoken, limit)
+        self.plain = _Words(lambda w: self.word(w, self.plain), limit)
         self.spaced = _Words(self.after_blank, limit)
         self.newline = self.whole("\n") if self.kind == "attach" else b""
 
@@ -102,22 +102,29 @@ class Encoder:
             mapped = part.decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def word(self, word: bytes, before: bytes = b"") -> bytes:
-        """ids of a word; simple ones skip the library's normalizer and pre-tokenizer, which would not change them."""
-        if word.isalpha():  # ASCII letters, as these are bytes
-            return self.parts[before + (word.lower() if self.lower else word)]
+    def word(self, word: bytes, table: dict[bytes, bytes], before: bytes = b"") -> bytes:
+        """ids of a word; simple ones skip the library's normalizer and pre-tokenizer, which would not change them.
+
+        A name with a mark after it is looked up as the name in the same table, and so is its lower-cased form.
+        """
         name, mark = word[:-1], word[-1:]
-        if not (name.isalpha() and mark in _MARKS):
+        if word.isalpha():  # ASCII letters, as these are bytes
+            name, mark = word, b""
+        elif not (name.isalpha() and mark in _MARKS):
             text = word.decode("utf-8", "replace")
             simple = _SIMPLE.fullmatch(text)
             if not simple:
                 return self.whole(before.decode() + text)
-            if not simple[1]:
-                return self.parts[before + word] if before + word else b""
-            name, mark = (simple[1].lower() if self.lower else simple[1]).encode(), simple[2].encode()
-        elif self.lower:
-            name = name.lower()
-        return self.parts[before + name] + self.parts[mark] if mark else self.parts[before + name]
+            name, mark = simple[1].encode(), simple[2].encode()
+            if not name:
+                return self.pretoken(before + word) if before + word else b""
+        if mark:
+            return table[name] + self.marks[mark]
+        if self.lower:
+            low = name.lower() if name.isascii() else name.decode().lower().encode()
+            if low != name:
+                return table[low]
+        return self.pretoken(before + name)
 
     def whole(self, text: str | bytes) -> bytes:
         if isinstance(text, bytes):
@@ -144,7 +151,7 @@ class Encoder:
 
     def after_blank(self, word: bytes) -> bytes:
         """ids of a word with the blank before it: a line feed where it starts with one, else a space."""
-        return self.newline + self.plain[word[1:]] if word[:1] == b"\n" else self.word(word, b" ")
+        return self.newline + self.plain[word[1:]] if word[:1] == b"\n" else self.word(word, self.spaced, b" ")
 
 
 def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:

@@ -19,7 +19,7 @@ from .common import prepare
 
 GROUP_DOCS = 1024
 #: Words a worker keeps per generation; packing leaves room for more than the default.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
