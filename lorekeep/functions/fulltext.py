@@ -23,6 +23,7 @@ STOP = (
 STEPS = (
     ((r"sses$", "ss"), (r"ies$", "i"), (r"(?<!s)s$", "")),
     ((r"(?<=[aeiouy]\w{0,9})(?:eed)$", "ee"), (r"(?<=[aeiouy]\w{0,9})(?:ed|ing)$", "")),
+    tuple((rf"(?<=\w{{2}}){c}{c}$", c) for c in "bdgmnprt"),
     ((r"(?<=[aeiouy]\w{0,9})y$", "i"),),
     ((r"(?<=\w{3})(?:ational|ation|ator)$", "ate"), (r"(?<=\w{3})(?:ization|izer)$", "ize"), (r"(?<=\w{3})(?:fulness|ful)$", "ful"), (r"(?<=\w{3})(?:ousness|ousli)$", "ous"), (r"(?<=\w{3})(?:iveness|iviti)$", "ive")),
     ((r"(?<=\w{4})(?:ement|ment|ness|able|ible|ance|ence|ity|iti|ive|ize|ate|al|er|ic)$", ""),),

@@ -16,11 +16,11 @@ EDGE = ["id", "source_entity_id", "target_entity_id", "relation_type", "confiden
 BROADCAST_NODES = 1_000_000
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """JOIN-11: (node, other, id) with two rows per active edge."""
+def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
+    """JOIN-11: (node, other, id, columns) with two rows per active edge."""
     live = edges.where("status = 'active'")
     ends = F.array(F.struct(F.col("source_entity_id").alias("node"), F.col("target_entity_id").alias("other")), F.struct(F.col("target_entity_id").alias("node"), F.col("source_entity_id").alias("other")))
-    return live.select("id", F.explode(ends).alias("e")).select("e.node", "e.other", "id")
+    return live.select("id", *columns, F.explode(ends).alias("e")).select("e.node", "e.other", "id", *columns)
 
 
 def _bounded(df: DataFrame, n: int) -> DataFrame:
@@ -70,8 +70,9 @@ def neighborhoods(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_no
     if max_depth < 1:
         return neighborhoods(edges, roots.limit(0), 1, max_nodes, max_edges)
     seen, cut = levels(edges, roots, max_depth, max_nodes)
-    met = both_ways(edges).select("node", "id").join(seen, "node").groupBy("root", "id").agg((F.min("lvl") + 1).alias("depth"))
-    found = met.join(edges.select(*EDGE), "id").join(cut, "root")
+    kept = [F.first(c).alias(c) for c in EDGE[1:]]
+    met = both_ways(edges, *EDGE[1:]).join(_bounded(seen, seen.count()), "node").groupBy("root", "id").agg((F.min("lvl") + 1).alias("depth"), *kept)
+    found = met.join(_bounded(cut, cut.count()), "root") if max_nodes else met.withColumn("truncated", F.lit(False))
     if max_edges:
         total = met.groupBy("root").agg((F.count("*") > max_edges).alias("over"))
         found = found.join(total, "root").withColumn("truncated", F.col("truncated") | F.col("over"))

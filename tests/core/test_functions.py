@@ -108,7 +108,7 @@ def test_stems_agree_on_both_sides(spark):
     words = "running ran runs cities classes happily hopping relational conditional rationalization agreed agreement national sky die tie as is being bless controlling useful usefulness abilities generator fallen oscillate 12 café".split()
     got = value(spark, S.stems(F.array(*[F.lit(w) for w in words])))
     assert got == [S.stem_word(w) for w in words]
-    assert S.stem_word("running") == S.stem_word("runs") + "n" or S.stem_word("runs") == "run"
+    assert S.stem_word("running") == S.stem_word("runs") == "run" and S.stem_word("classes") == "class"
 
 
 @pytest.mark.parametrize(
