@@ -28,8 +28,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (five-word shingles, at most 2 of 64 bits apart)."""
-    return simhash.deduplicated(docs, shingle=5, within=2)
+    """One document of each group of SimHash near-duplicates: five-word shingles, at most 6 of 64 bits apart, and at least
+    0.8 alike in their shingle sets."""
+    return simhash.deduplicated(docs, shingle=5, within=6, parts=4, similarity=0.8)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

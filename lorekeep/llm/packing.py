@@ -7,8 +7,6 @@ the rests are packed. Repeated documents are packed as often as they occur; a nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

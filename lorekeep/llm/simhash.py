@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_written, prepare, written
+from .scaled_sketch import likeness, with_sketch
 
 BITS = 64
 GROUP = 2048
@@ -103,7 +105,7 @@ def mask_of(bits) -> int:
 
 
 def estimated_candidates(fps: DataFrame, n: int, together: np.ndarray, parts: list[list[int]], most: int) -> list[list[float]]:
-    """[part][t + 1]: pairs that differ in at most t bits of the part. t = 0 is counted over all rows; further bits
+    """[part][t + 1]: pairs that differ in at most t bits of the part, and the keys that finding them takes. t = 0 is counted over all rows; further bits
     multiply it by the odds, from all rows, that each of them differs."""
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(b))) for b in parts])
     same = {r[0]: r[1] for r in fps.select(F.posexplode(keys)).groupBy("pos", "col").count().groupBy("pos").agg(F.sum(F.col("count") * F.col("count").cast("double"))).collect()}
@@ -114,7 +116,8 @@ def estimated_candidates(fps: DataFrame, n: int, together: np.ndarray, parts: li
         ways = [1.0]
         for b in bits:  # elementary symmetric sums of the odds
             ways = [w + (ways[k - 1] * odds[b] if k else 0) for k, w in enumerate([*ways, 0.0])][: most + 1]
-        out.append([0.0, *(same.get(i, 0.0) * x for x in np.cumsum([*ways, *[0.0] * (most + 1 - len(ways))]))])
+        pairs = same.get(i, 0.0) * np.cumsum([*ways, *[0.0] * (most + 1 - len(ways))])
+        out.append([0.0, *(x + n * comb(len(bits), t) for t, x in enumerate(pairs))])
     return out
 
 
@@ -199,13 +202,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, within: i
     return docs_fps.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int = 2) -> DataFrame:
+def alike(docs: DataFrame, firsts: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose two texts have at least that Jaccard likeness of their shingle sets, exactly.
+
+    firsts has fp, doc_id and th of one document for each fingerprint; only texts that an edge needs are looked up.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = firsts.join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["fp"])
+    sets = written(with_sketch(texts.select("fp", "t"), "t", "s", shingle, 1.0).select("fp", "s"), "shingle-sets")
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
+    return edges.join(side("a"), "a").join(side("b"), "b").where(likeness("sa", "sb") >= similarity).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int = 6, parts: int = 4, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the least doc_id; all columns stay.
 
-    Rows with the same doc_id and text are one document, and of texts with the same doc_id one stays. Documents without
-    doc_id stay if no document with one is near them, each distinct text once.
+    Texts are near-duplicates if their fingerprints differ in at most ``within`` bits and their shingle sets are at
+    least ``similarity`` alike (lower-cased). Equal fingerprints are one class. Rows with the same doc_id and text are
+    one document, and of texts with the same doc_id one stays. Documents without doc_id stay if no document with one is
+    near them, each distinct text once.
     """
-    found = near_duplicates(docs, shingle, seed, within).where("doc_id <=> component_id")
+    docs_fps = written(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = written(docs_fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("fp", "m.doc_id", "m.th"), "distinct-fingerprints")
+    edges = written(linked(distinct.select("fp"), within, parts).distinct(), "fingerprint-links")
+    roots = connected_components(alike(docs, distinct, edges, shingle, similarity), "fingerprint-components")
+    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = written(joined.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-classes")
+    found = docs_fps.join(classes, "fp").where("doc_id <=> component_id")
     kept = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("th"))
     kept = kept.unionByName(found.where("doc_id IS NULL").select("doc_id", "th").distinct()).alias("k")
     rows = docs.withColumn("_th", F.xxhash64("text")).alias("d")

@@ -44,12 +44,17 @@ def test_stages(spark, folder):
 
     out = stages["near_dedup"](spark, docs, folder)
     fp = {r.doc_id: simhash.fingerprint_of((r.text or "").encode(), 5, 42) for r in docs.collect()}
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [(a, b) for a in fp for b in fp if fp[a] == fp[b] or bin(fp[a] ^ fp[b]).count("1") <= 6 and like(a, b)]
     root = dict(zip(fp, fp, strict=True))
-    for _ in fp:
-        for a in fp:
-            root[a] = min([root[a], *(root[b] for b in fp if bin(fp[a] ^ fp[b]).count("1") <= 2)])
-        if all(root[a] == root[b] for a in fp for b in fp if bin(fp[a] ^ fp[b]).count("1") <= 2):
-            break
+    while any(root[a] != root[b] for a, b in near):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
     assert out.columns == COLUMNS and sorted(r.doc_id for r in out.collect()) == sorted(k for k, v in root.items() if k == v)
 
     out = stages["pii"](spark, docs, folder)
