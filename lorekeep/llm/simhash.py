@@ -21,14 +21,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_written, prepare, written
-from .scaled_sketch import likeness, with_sketch
+from .scaled_sketch import with_sketch
 
 BITS = 64
 GROUP = 2048
+#: About this many texts, or 1024 times as many shingles, are a block of an exact check.
+BLOCK = 512
 #: Hot keys are sent to all tasks up to this many (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_KEYS = 100_000
 
@@ -202,32 +205,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, within: i
     return docs_fps.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def alike(docs: DataFrame, firsts: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose two texts have at least that Jaccard likeness of their shingle sets, exactly.
+def verified_links(fps: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, within: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges (row numbers) of a spanning forest of the links whose shingle sets are alike, exactly: a pair goes untested
+    only if it is joined already. hashes has the distinct shingle hashes of all rows in order, sizes their counts."""
+    x, ends, codes = fps.view(np.uint64), np.cumsum(sizes), np.unique(hashes, return_inverse=True)[1]
+    sets = np.split(codes, ends[:-1])
+    marks, root, out = np.zeros(len(codes), bool), np.arange(len(x)), []
+    for i in range(len(x)):
+        near = i + 1 + np.nonzero((root[i + 1 :] != root[i]) & (np.bitwise_count(x[i + 1 :] ^ x[i]) <= within))[0]
+        if not len(near):
+            continue
+        marks[sets[i]] = True
+        both = np.array([np.count_nonzero(marks[sets[k]]) for k in near])
+        marks[sets[i]] = False
+        union = sizes[i] + sizes[near] - both
+        for k in near[np.where(union == 0, 1.0, both / np.maximum(union, 1)) >= similarity]:
+            if root[k] != root[i]:
+                out.append((i, int(k)))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def alike(docs: DataFrame, firsts: DataFrame, shingle: int, within: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges between texts (by th) whose components are those of all pairs with fingerprints at most ``within``
+    bits apart and shingle sets of at least that Jaccard likeness, exactly.
 
-    firsts has fp, doc_id and th of one document for each fingerprint; only texts that an edge needs are looked up.
+    firsts has th, fp, root and the doc_id of one document of each text; root is the same for texts that fingerprint
+    links join, so only pairs of one root can be linked. A root's texts are dealt to blocks of about ``block``, and each
+    two blocks of a root meet in one group, so every pair is seen and no task has a large root whole.
     """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = firsts.join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["fp"])
-    sets = written(with_sketch(texts.select("fp", "t"), "t", "s", shingle, 1.0).select("fp", "s"), "shingle-sets")
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
-    return edges.join(side("a"), "a").join(side("b"), "b").where(likeness("sa", "sb") >= similarity).select("a", "b")
+    prepare(docs.sparkSession)
+    crowded = firsts.groupBy("root").count().where("count > 1").select("root")
+    wanted = firsts.join(crowded, "root", "left_semi").select("fp", "root", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["th"])
+    sets = written(with_sketch(texts.select("th", "fp", "root", "t"), "t", "s", shingle, 1.0).select("th", "fp", "root", "s"), "shingle-sets")
+    blocks = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.size("s")) / (block * 1024))).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "th"), F.greatest("k", F.lit(1))).cast("int")
+    other = F.when(F.col("k") > 1, F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("own"))).otherwise(F.array("own"))
+    met = sets.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(other))
+    met = met.select("th", "fp", "s", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        th, s = table.column("th").to_numpy(), table.column("s")
+        found = verified_links(table.column("fp").to_numpy(), pc.list_value_length(s).to_numpy(), pc.list_flatten(s).to_numpy(), within, similarity)
+        return pa.table([pa.array([int(th[e[i]]) for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return met.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int = 6, parts: int = 4, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the least doc_id; all columns stay.
 
     Texts are near-duplicates if their fingerprints differ in at most ``within`` bits and their shingle sets are at
-    least ``similarity`` alike (lower-cased). Equal fingerprints are one class. Rows with the same doc_id and text are
-    one document, and of texts with the same doc_id one stays. Documents without doc_id stay if no document with one is
-    near them, each distinct text once.
+    least ``similarity`` alike (lower-cased); a group is joined by such pairs, whichever they are. Equal fingerprints
+    are one class. Rows with the same doc_id and text are one document, and of texts with the same doc_id one stays.
+    Documents without doc_id stay if no document with one is near them, each distinct text once.
     """
     docs_fps = written(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = written(docs_fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("fp", "m.doc_id", "m.th"), "distinct-fingerprints")
-    edges = written(linked(distinct.select("fp"), within, parts).distinct(), "fingerprint-links")
-    roots = connected_components(alike(docs, distinct, edges, shingle, similarity), "fingerprint-components")
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    reach = connected_components(linked(distinct.select("fp"), within, parts), "fingerprint-components")
+    firsts = written(distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    roots = connected_components(alike(docs, firsts, shingle, within, similarity), "text-components")
+    joined = distinct.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = written(joined.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-classes")
     found = docs_fps.join(classes, "fp").where("doc_id <=> component_id")

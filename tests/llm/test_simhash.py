@@ -90,3 +90,34 @@ def test_one_document_of_each_group_stays(spark):
     got = simhash.deduplicated(docs(spark, rows).withColumnRenamed("source", "fp"))
     assert got.columns == ["doc_id", "text", "lang", "fp", "n_chars"]
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, long), (4, "a quite different text of some words"), (None, "alone without id"), (7, None)], key=str)
+
+
+def brute_kept(rows, shingle=5, within=6, similarity=0.8):
+    """Ids that stay of (doc_id, text) with distinct ids: every pair is tested."""
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    fp, sets = {i: simhash.fingerprint_of((t or "").encode(), shingle, 42) for i, t in rows}, {i: shingles(t) for i, t in rows}
+    near = lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= within and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return sorted(i for i, v in components(sorted(fp), near).items() if i == v)
+
+
+def edited_copies(n, words, edits, seed):
+    r = random.Random(seed)
+    text = [f"w{r.randint(0, 5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(text)
+        for k in r.sample(range(words), r.randint(1, edits)):
+            copy[k] = f"e{r.randint(0, 10**6)}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_every_verified_link_joins_a_group(spark, monkeypatch):
+    rows = edited_copies(300, 200, 10, seed=6)
+    want = brute_kept(rows)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == want
+    monkeypatch.setattr(simhash.alike, "__defaults__", (40,))  # roots in many blocks
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == want
