@@ -257,19 +257,19 @@ def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int
     """docs with one document of each group of near-duplicates, that of the least doc_id; all columns stay.
 
     Texts are near-duplicates if their fingerprints differ in at most ``within`` bits and their shingle sets are at
-    least ``similarity`` alike (lower-cased); a group is joined by such pairs, whichever they are. Equal fingerprints
-    are one class. Rows with the same doc_id and text are one document, and of texts with the same doc_id one stays.
-    Documents without doc_id stay if no document with one is near them, each distinct text once.
+    least ``similarity`` alike (lower-cased); a group is joined by such pairs, whichever they are. Texts of equal
+    fingerprints are checked as any others. Rows with the same doc_id and text are one document, and of texts with the
+    same doc_id one stays. Documents without doc_id stay if no document with one is near them, each distinct text once.
     """
     docs_fps = written(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = written(docs_fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("fp", "m.doc_id", "m.th"), "distinct-fingerprints")
-    reach = connected_components(linked(distinct.select("fp"), within, parts), "fingerprint-components")
+    distinct = written(docs_fps.groupBy("th", "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m")).select("th", "fp", "m.doc_id"), "distinct-texts")
+    reach = connected_components(linked(written(distinct.select("fp").distinct(), "distinct-fingerprints"), within, parts), "fingerprint-components")
     firsts = written(distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
     roots = connected_components(alike(docs, firsts, shingle, within, similarity), "text-components")
     joined = distinct.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = written(joined.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-classes")
-    found = docs_fps.join(classes, "fp").where("doc_id <=> component_id")
+    classes = written(joined.select("th", "root").join(least, "root").select("th", "component_id"), "text-classes")
+    found = docs_fps.join(classes, "th").where("doc_id <=> component_id")
     kept = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("th"))
     kept = kept.unionByName(found.where("doc_id IS NULL").select("doc_id", "th").distinct()).alias("k")
     rows = docs.withColumn("_th", F.xxhash64("text")).alias("d")

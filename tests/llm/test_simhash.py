@@ -121,3 +121,11 @@ def test_every_verified_link_joins_a_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == want
     monkeypatch.setattr(simhash.alike, "__defaults__", (40,))  # roots in many blocks
     assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == want
+
+
+def test_equal_fingerprints_need_alike_texts(spark):
+    line = "total total total total total " * 16
+    rows = [(i, line + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(3)]
+    rows += [(10, rows[1][1].upper()), (11, rows[2][1] + " end")]
+    assert len({simhash.fingerprint_of(t.encode(), 5, 42) for _, t in rows}) == 1
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == brute_kept(rows) == [0, 1, 2]
