@@ -27,8 +27,8 @@ from .common import written
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
-#: Right of a match's left neighbour, at most this many code points are looked at for its two words.
-REACH = 96
+#: In words of more code points than this, what stands before a base match counts from the last match of its kind.
+LONG_WORD = 4096
 
 _LOCAL, _HOST = r"A-Za-z0-9._%+-", r"A-Za-z0-9-"
 #: Linear-time forms of the detectors: each starts only where a leftmost match can start, and loops over one class.
@@ -39,6 +39,8 @@ REGEX = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+",
 }
+#: The last two words and the blanks after them; linear, as it starts only where a word does.
+TWO_WORDS = r"(?<!\S)(\S++\s++\S++\s*+)\z"
 
 
 def luhn(digits: Column) -> Column:
@@ -59,18 +61,21 @@ def passes(kind: Column, match: Column) -> Column:
 
 
 def _matches(kind: str) -> Column:
-    """array<struct<kind, at, gap, match, left>>: each match, the count of characters since the one before, and their end."""
+    """array<struct<kind, at, gap, match, left>>: each match, the count of characters since the one before, and their last
+    two words (all of them if fewer)."""
     quick = F.col("text").contains("@") if kind == "email" else F.col("text").contains("+") if kind == "phone" else F.lit(True)
     found = F.when(quick, F.regexp_extract_all("text", F.lit(REGEX[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     between = F.when(quick, F.split("text", REGEX[kind])).otherwise(F.array().cast("array<string>"))
+    two = lambda gap: F.regexp_extract(gap, TWO_WORDS, 1)
+    left = lambda gap: F.when(two(gap) != "", F.concat(F.lit(" "), two(gap))).otherwise(gap)
     pairs = F.arrays_zip(found.alias("match"), between.alias("gap"))
-    rows = F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(p["gap"]).alias("gap"), p["match"].alias("match"), F.right(p["gap"], F.lit(REACH)).alias("left")))
+    rows = F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(p["gap"]).alias("gap"), p["match"].alias("match"), left(p["gap"]).alias("left")))
     return F.filter(rows, lambda r: r["match"].isNotNull())
 
 
 def pattern_of(left: Column) -> Column:
     """The last two words before a match, lower-cased, with the blanks between made one space; '' without two words."""
-    return F.regexp_replace(F.lower(F.regexp_extract(left, r"(\S+\s+\S+\s*)$", 1)), r"\s+", " ")
+    return F.regexp_replace(F.lower(F.regexp_extract(left, TWO_WORDS, 1)), r"\s+", " ")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -86,8 +91,18 @@ def occurrences(texts: DataFrame) -> DataFrame:
     found = dealt.select("doc_id", "th", F.explode(F.concat(*[_matches(k) for k in REGEX])).alias("m")).select("doc_id", "th", "m.*")
     run = Window.partitionBy("doc_id", "th", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(run)).withColumn("start", F.col("end") - F.length("match"))
-    found = found.where(passes(F.col("kind"), F.col("match")))
     base = F.col("kind") != "token"
+    # Tokens are whole words, so two tokens and the gaps after them hold the two words before the next one. A base match
+    # starts within a token: what stands before it is what stands before the token, and the token's own beginning.
+    before = Window.partitionBy("doc_id", "th", "kind").orderBy("at")
+    ago = lambda c, n: F.coalesce(F.lag(c, n).over(before), F.lit(""))
+    found = found.withColumn("_before", F.when(~base, F.concat(ago("match", 2), ago("left", 1), ago("match", 1), F.col("left"))))
+    head = F.when(F.length("match") <= LONG_WORD, F.col("match"))
+    word = F.last(F.when(~base, F.struct("start", F.col("_before").alias("before"), head.alias("head"))), ignorenulls=True)
+    found = found.withColumn("_word", word.over(Window.partitionBy("doc_id", "th").orderBy("start", base).rowsBetween(Window.unboundedPreceding, 0)))
+    inner = F.coalesce(F.substring(F.col("_word.head"), F.lit(1), (F.col("start") - F.col("_word.start")).cast("int")), F.right("left", F.least(F.lit(LONG_WORD), F.col("start") - F.col("_word.start")).cast("int")))
+    found = found.withColumn("pattern", pattern_of(F.when(base, F.concat(F.col("_word.before"), inner)).otherwise(F.col("_before")))).drop("left", "_before", "_word")
+    found = found.where(passes(F.col("kind"), F.col("match")))
     ahead = Window.partitionBy("doc_id", "th").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     behind = Window.partitionBy("doc_id", "th").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("_reached", F.max(F.when(base, F.col("end"))).over(ahead)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(behind))
@@ -96,7 +111,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
     lead = F.when(base, 0).otherwise(F.length(F.regexp_extract("match", r"^([^\p{L}\p{N}@+]*)", 1)))
     trail = F.when(base, 0).otherwise(F.length(F.regexp_extract("match", r"([^\p{L}\p{N}]*)$", 1)))
     value = F.when(base, F.col("match")).otherwise(F.regexp_extract("match", r"^[^\p{L}\p{N}@+]*(.*?)[^\p{L}\p{N}]*$", 1))
-    out = found.select("doc_id", "th", "kind", (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), value.alias("value"), pattern_of(F.col("left")).alias("pattern"))
+    out = found.select("doc_id", "th", "kind", (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), value.alias("value"), "pattern")
     return out.where(F.col("end") > F.col("start"))
 
 

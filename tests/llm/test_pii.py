@@ -102,3 +102,23 @@ def test_redaction_keeps_rows_and_columns(spark):
     first = (0, "mail <email> now <ip>", 21)
     assert found == sorted([first, first, (1, None, 0), (2, "plain", 5), (3, "", 0), (4, "+<card> end", 11), (5, "5 things", 8)], key=str)
     assert pii.redacted(df.limit(0)).count() == 0 and pii.report(df.limit(0)).count() == 0
+
+
+def test_patterns_are_the_two_words_before(spark):
+    rows = ["Phone: +1 202 555 0143 ID: A123", "me@x.yz or user4711", "a1 b2 c3 d4", "12 mail me@x.yz", "  so 12\n\nmail x9", "see mail:me@x.yz,you@x.yz", "see 10.0.0.1;me@x.yz", "x1 " + "w" * 300 + " " + "v" * 200 + "\t" * 150 + "k7", "one 2", "me@x.yz"]
+    rows += texts(7, 300)
+    got = pii.occurrences(pii.candidates(docs(spark, rows))).select("doc_id", "kind", "start", "value", "pattern").collect()
+    for x in got:
+        lead = len(re.search(r"(?a:\S*)\Z", rows[x.doc_id][: x.start])[0]) if x.kind == "token" else 0  # the value is its token's middle
+        words = re.findall(r"(?a:\S+\s*)", rows[x.doc_id][: x.start - lead])
+        want = re.sub(r"(?a:\s+)", " ", "".join(words[-2:]).lower()) if len(words) > 1 else ""
+        assert x.pattern == want, (rows[x.doc_id], x)
+    held = {(x.doc_id, x.value): x.pattern for x in got}
+    assert held[0, "A123"] == "0143 id: " and held[1, "user4711"] == "me@x.yz or " and held[2, "d4"] == "b2 c3 "
+    assert held[3, "me@x.yz"] == held[4, "x9"] == "12 mail "
+
+
+def test_contexts_behind_other_identifiers(spark):
+    rows = [f"build 7 contact: user{i}@mail.example.com" for i in range(8)] + ["id 7 contact: handle4711", "a1 7 contact: name99"]
+    found = {x.doc_id: [(s["kind"], rows[x.doc_id][s["start"] : s["end"]]) for s in x.spans] for x in pii.report(docs(spark, rows)).collect()}
+    assert found[8] == [("context", "handle4711")] and found[9] == [("context", "name99")]
