@@ -95,16 +95,17 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, label: str, per_label: int) -> DataFrame:
     """About per_label rows of each label, the same ones for the same data, without gathering a label in one task."""
-    counts = docs.groupBy(label).count()
+    counts = docs.groupBy(label).count().where(F.col("count") > per_label)  # all rows of other labels stay
     share = counts.select(label, (F.lit(per_label) / F.col("count")).alias("share"))
     position = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 40) - 1) / float(1 << 40))
-    return docs.join(F.broadcast(share.orderBy(label).limit(1000)), label).where(position < F.col("share"))
+    return docs.join(F.broadcast(share), label, "left").where(F.coalesce(position < F.col("share"), F.lit(True)))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, centroids: int = CENTROIDS) -> Model:
     """docs: doc_id, text and lang of the rows to learn from; rows without lang or letters teach nothing.
 
-    At most about per_language rows of each of the first 1000 languages by name are gathered, as sparse counts.
+    At most about per_language rows of each language are gathered, as sparse counts; the driver's memory grows with the
+    count of languages.
     """
     prepare(docs.sparkSession)
 

@@ -111,3 +111,9 @@ def test_toxicity_without_labels_or_rows(spark):
     got = toxicity.score(odd, model)
     assert got.count() == odd.count() and got.schema["toxicity"].dataType.simpleString() == "double"
     assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_every_label_is_sampled(spark):
+    rows = [(i, "x", f"l{i:05d}") for i in range(1200)] + [(2000 + i, "x", "zz") for i in range(900)]
+    got = {r.lang: r.n for r in langid.labelled_sample(frame(spark, rows), "lang", 300).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == 1201 and 200 < got.pop("zz") < 400 and set(got.values()) == {1}
