@@ -26,10 +26,26 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, with underscores before it until no table has such a column in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset and all tasks run
+    in this process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not hasattr(spark, "_lorekeep_scratch"):
             spark._lorekeep_scratch = f"file://{tempfile.mkdtemp(prefix='lorekeep-')}"
         base = spark._lorekeep_scratch

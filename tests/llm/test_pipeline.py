@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
-from lorekeep.llm import langid, queries, simhash, toxicity
+from lorekeep.llm import langid, queries, toxicity
 from pyspark.sql import functions as F
 from test_classifiers import corpus, frame
 from test_pii import brute
@@ -43,15 +43,14 @@ def test_stages(spark, folder):
     assert not any("idiot" in (t[1] or "") for t in want) and len(want) > 250
 
     out = stages["near_dedup"](spark, docs, folder)
-    fp = {r.doc_id: simhash.fingerprint_of((r.text or "").encode(), 5, 42) for r in docs.collect()}
     def shingles(t):
         w = (t or "").lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
     like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    near = [(a, b) for a in fp for b in fp if fp[a] == fp[b] or bin(fp[a] ^ fp[b]).count("1") <= 6 and like(a, b)]
-    root = dict(zip(fp, fp, strict=True))
+    near = [(a, b) for a in sets for b in sets if like(a, b)]
+    root = dict(zip(sets, sets, strict=True))
     while any(root[a] != root[b] for a, b in near):
         for a, b in near:
             root[a] = root[b] = min(root[a], root[b])

@@ -6,6 +6,7 @@ import xxhash
 from helpers import awkward, docs
 from lorekeep.llm import simhash
 from lorekeep.llm.common import connected_components
+from pyspark.sql import functions as F
 
 
 def brute_fingerprint(text):
@@ -92,15 +93,15 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, long), (4, "a quite different text of some words"), (None, "alone without id"), (7, None)], key=str)
 
 
-def brute_kept(rows, shingle=5, within=6, similarity=0.8):
+def brute_kept(rows, shingle=5, similarity=0.8):
     """Ids that stay of (doc_id, text) with distinct ids: every pair is tested."""
     def shingles(t):
         w = (t or "").lower().split()
         return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
 
-    fp, sets = {i: simhash.fingerprint_of((t or "").encode(), shingle, 42) for i, t in rows}, {i: shingles(t) for i, t in rows}
-    near = lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= within and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
-    return sorted(i for i, v in components(sorted(fp), near).items() if i == v)
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return sorted(i for i, v in components(sorted(sets), near).items() if i == v)
 
 
 def edited_copies(n, words, edits, seed):
@@ -129,3 +130,43 @@ def test_equal_fingerprints_need_alike_texts(spark):
     rows += [(10, rows[1][1].upper()), (11, rows[2][1] + " end")]
     assert len({simhash.fingerprint_of(t.encode(), 5, 42) for _, t in rows}) == 1
     assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()) == brute_kept(rows) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 10**6])
+def test_masks_stay_few(n):
+    parts = simhash.correlated_parts(0, np.zeros((64, 64)), list(range(64)), 4)
+    costs = [[0.0, *(max(n, 1) * simhash.comb(len(b), t) for t in range(7))] for b in parts]
+    chosen = simhash.thresholds(costs, 3)
+    assert sum(chosen) == 3 and sum(simhash.comb(16, t) for t in chosen if t >= 0) <= 49
+
+
+@pytest.mark.parametrize("texts", [[], ["one text of a few words"], [None], ["one text of a few words"] * 2, ["a b c d e f", "other words stand in this text"], ["", None]])
+def test_tiny_tables(spark, texts):
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(spark, texts)).collect()) == brute_kept(list(enumerate(texts)))
+
+
+def test_pairs_of_least_likeness_are_found(spark):
+    """Pairs just above 0.8, most of which lie more than 6 bits apart: nine in ten must be found."""
+    r, rows = random.Random(8), []
+    for i in range(120):
+        text = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(60, 400))]
+        copy = list(text)
+        for k in r.sample(range(0, len(text), 5), max(1, len(text) // 60)):
+            copy[k] = f"e{r.randint(0, 10**6)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    want, got = brute_kept(rows), {x.doc_id for x in simhash.deduplicated(docs(spark, rows)).collect()}
+    assert set(want) <= got and len(rows) - len(got) >= 0.9 * (len(rows) - len(want)) > 50
+
+
+@pytest.mark.parametrize("group", [2048, 5])
+def test_band_links_join_copies_only(spark, group):
+    rows = [*edited_copies(40, 200, 4, seed=1), *((100 + i, t) for i, t in edited_copies(2, 200, 4, seed=2)), (200, "alone in the world with these words"), (201, "")]
+    texts = simhash.fingerprints(docs(spark, rows), 5, 42, banded=True).select(F.col("doc_id").alias("th"), "least")
+    got = {r.node: r.root for r in connected_components(simhash.band_links(texts, group)).collect()}
+    assert got == {i: 0 if i < 100 else 100 for i in [*range(40), 100, 101]}
+
+
+def test_clashing_columns(spark):
+    table = docs(spark, ["a b c d e f", "a b c d e f", "else"]).withColumn("_th", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("Root", F.lit(2))
+    got = simhash.deduplicated(table)
+    assert got.columns == table.columns and sorted((r["doc_id"], r["_th"], r["a.b"], r["Root"]) for r in got.collect()) == [(0, "x", 1, 2), (2, "x", 1, 2)]
