@@ -1,17 +1,23 @@
-"""An English analyser and the web-search grammar, as expressions over token arrays.
+"""An English analyser and the web-search grammar, over token arrays.
 
-Text is lower-cased, cut at whatever is no letter or digit, freed of stopwords and stemmed by rules after Porter's
-suffix steps, each a regular expression, so analysis stays in generated code. A query is words that must all be there,
-"quoted phrases", ``or`` between alternatives, and ``-`` before what must not be there.
+Text is lower-cased, cut at whatever is no letter or digit, and stemmed; stopwords leave a gap. Analysis is a Python
+program over words, so it is done once, when texts are stored (search.indexed()); matching and ranking are expressions
+over the stored arrays. A query is words that must all be there, "quoted phrases", ``or`` between alternatives, and ``-``
+before what must not be there.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lorekeep.functions.stemming import stem
 
 # English stopwords.
 STOP = (
@@ -19,125 +25,75 @@ STOP = (
     "him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own s same she so some such t than that the their them then there these they this "
     "those through to too under until up very was we were what when where which while who whom why will with you your"
 ).split()
-# Suffix rules, tried in order within a step; the stem before a suffix needs a vowel.
-STEPS = (
-    ((r"sses$", "ss"), (r"ies$", "i"), (r"(?<!s)s$", "")),
-    ((r"(?<=[aeiouy]\w{0,9})(?:eed)$", "ee"), (r"(?<=[aeiouy]\w{0,9})(?:ed|ing)$", "")),
-    tuple((rf"(?<=\w{{2}}){c}{c}$", c) for c in "bdgmnprt"),
-    ((r"(?<=[aeiouy]\w{0,9})y$", "i"),),
-    ((r"(?<=\w{3})(?:ational|ation|ator)$", "ate"), (r"(?<=\w{3})(?:ization|izer)$", "ize"), (r"(?<=\w{3})(?:fulness|ful)$", "ful"), (r"(?<=\w{3})(?:ousness|ousli)$", "ous"), (r"(?<=\w{3})(?:iveness|iviti)$", "ive")),
-    ((r"(?<=\w{4})(?:ement|ment|ness|able|ible|ance|ence|ity|iti|ive|ize|ate|al|er|ic)$", ""),),
-    ((r"(?<=\w{3})e$", ""), (r"(?<=\w{2})ll$", "l")),
-)
-
-
-def stems(tokens: Column) -> Column:
-    """The stem of each token. A step is a pass over the array, so that each step sees one evaluated word."""
-
-    def step(rules) -> Column:
-        def one(w: Column) -> Column:
-            out = w
-            for rule, to in reversed(rules):
-                out = F.when(w.rlike(rule), F.regexp_replace(w, rule, to)).otherwise(out)
-            return F.when(F.length(w) > 2, out).otherwise(w)
-
-        return one
-
-    for rules in STEPS:
-        tokens = F.transform(tokens, step(rules))
-    return tokens
-
-
-def stem_word(word: str) -> str:
-    for step in STEPS:
-        if len(word) <= 2:
-            break
-        for rule, to in step:
-            m = _behind(rule, word)
-            if m is not None:
-                word = m + to
-                break
-    return word
-
-
-def _behind(rule: str, word: str) -> str | None:
-    """The word before the suffix that the rule matches at its end; look-behinds are checked on that part."""
-    vowel = rule.startswith(r"(?<=[aeiouy]")
-    least = int(m[1]) if (m := re.match(r"\(\?<=\\w\{(\d)\}\)", rule)) else 0
-    suffix = re.sub(r"^\(\?<=.*?\)(?=[(a-z])", "", rule)
-    found = re.search(suffix, word, re.A)
-    if not found:
-        return None
-    head = word[: found.start()]
-    return head if len(head) >= least and (not vowel or re.search(r"[aeiouy]\w{0,9}$", head, re.A)) else None
-
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+
+
+#: The stem of each token; each distinct word is worked out once a worker. Declared so that it is never repeated in a plan.
+stems = _stems.asNondeterministic()
+
+
 def analysed(text: Column) -> Column:
-    """Stems in order, stopwords left out; phrases are sought in this sequence."""
+    """Stems in order, with '' where a stopword stands, so that phrases keep their distances."""
     stop = F.array(*[F.lit(w) for w in STOP])
-    return stems(F.filter(words(text), lambda t: ~F.array_contains(stop, t)))
+    return stems(F.transform(words(F.coalesce(text, F.lit(""))), lambda t: F.when(F.array_contains(stop, t), F.lit("")).otherwise(t)))
 
 
 @dataclass(frozen=True)
 class Term:
-    stems: tuple[str, ...]  # more than one: a phrase
+    stems: tuple[str, ...]  # more than one: a phrase; '' stands for a stopword in it
     wanted: bool
 
 
-def parse(query: str) -> list[list[list[Term]]]:
-    """Groups that must all hold; each is a list of alternatives, and each alternative a list of terms."""
-    parts = re.findall(r'(-?)"([^"]*)"|(\S+)', query)
-    out: list[list[list[Term]]] = []
-    either = False
-    for minus, phrase, word in parts:
-        if word.lower() == "or" and out:
-            either = True
+def parse(query: str) -> list[list[Term]]:
+    """Alternatives, of which one must hold; each is a list of terms that must all hold. ``or`` binds weaker than the
+    words on either side of it; one without words on a side is left out."""
+    out: list[list[Term]] = [[]]
+    for minus, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', query):
+        if word.lower() == "or":
+            if out[-1]:
+                out.append([])
             continue
         wanted = not (minus or (word.startswith("-") and len(word) > 1))
-        stems = tuple(stem_word(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower()) if w not in STOP)
-        if not stems:
-            continue
-        terms = [Term(stems, wanted)]
-        if either:
-            out[-1].append(terms)
-        else:
-            out.append([terms])
-        either = False
-    return out
+        found = ["" if w in STOP else stem(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower())]
+        while found and not found[-1]:
+            found.pop()
+        while found and not found[0]:
+            found.pop(0)
+        if found:
+            out[-1].append(Term(tuple(found), wanted))
+    return [terms for terms in out if terms]
 
 
 def _has(doc: Column, term: Term) -> Column:
-    if len(term.stems) == 1:
-        hit = F.array_contains(doc, term.stems[0])
-    else:
-        padded = F.concat(F.lit(" "), F.array_join(doc, " "), F.lit(" "))
-        hit = padded.contains(" " + " ".join(term.stems) + " ")
+    real = [s for s in term.stems if s]
+    hit = F.lit(True)
+    for s in dict.fromkeys(real):
+        hit = hit & F.array_contains(doc, s)
+    if len(term.stems) > 1:  # looked for only where all its words are
+        at = F.sequence(F.lit(0), F.greatest(F.size(doc) - len(term.stems), F.lit(0)))
+        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(doc, i + k) == s, F.lit(False)) for k, s in enumerate(term.stems) if s])
+        hit = F.when(hit, F.exists(at, here)).otherwise(False)
     return hit if term.wanted else ~hit
 
 
 def matches(doc: Column, query: str) -> Column:
     """Whether the analysed document satisfies the query; a query of stopwords alone matches nothing."""
-    groups = parse(query)
-    if not groups:
-        return F.lit(False)
-    out = F.lit(True)
-    for alternatives in groups:
-        some = F.lit(False)
-        for terms in alternatives:
-            every = F.lit(True)
-            for t in terms:
-                every = every & _has(doc, t)
-            some = some | every
-        out = out & some
+    out = F.lit(False)
+    for terms in parse(query):
+        out = out | reduce(lambda a, b: a & b, [_has(doc, t) for t in terms])
     return out
 
 
 def rank(doc: Column, query: str) -> Column:
-    """Share of the document's stems that the query asks for, damped by length; not comparable with other engines."""
-    stems = sorted({s for g in parse(query) for alt in g for t in alt if t.wanted for s in t.stems})
-    hits = F.size(F.filter(doc, lambda t: t.isin(*stems))) if stems else F.lit(0)
-    return F.round(hits / (F.lit(1.0) + F.log(F.lit(1.0) + F.size(doc))), 6)
+    """How often the document has a stem that the query wants, damped by its count of words that are no stopwords; not
+    comparable with other engines."""
+    wanted = sorted({s for terms in parse(query) for t in terms if t.wanted for s in t.stems if s})
+    hits = F.size(F.filter(doc, lambda t: t.isin(*wanted))) if wanted else F.lit(0)
+    return F.round(hits / (F.lit(1.0) + F.log(F.lit(1.0) + F.size(F.filter(doc, lambda t: t != "")))), 6)

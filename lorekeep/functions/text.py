@@ -116,9 +116,13 @@ def prefix_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(begins, ratio).otherwise(0.0)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """FN-17 of two names that normalize_name() has been applied to: the strongest of tokens, trigrams and prefix."""
-    best = F.greatest(jaccard(tokens(a), tokens(b)), jaccard(trigrams(a), trigrams(b)), prefix_ratio(a, b))
+def name_similarity(a: Column, b: Column, parts: tuple[Column, Column, Column, Column] | None = None) -> Column:
+    """FN-17 of two names that normalize_name() has been applied to: the strongest of tokens, trigrams and prefix.
+
+    parts: tokens of a and b and trigrams of a and b, where they are known already.
+    """
+    ta, tb, ga, gb = parts or (tokens(a), tokens(b), trigrams(a), trigrams(b))
+    best = F.greatest(jaccard(ta, tb), jaccard(ga, gb), prefix_ratio(a, b))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
 
 

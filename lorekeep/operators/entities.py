@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
@@ -10,7 +10,7 @@ from lorekeep.operators.listing import BadRequestError, NotFoundError, clamp
 from lorekeep.operators.scan import nearest_pairs
 from lorekeep.plans import schema
 
-# The suggestion threshold, and how many live entities (by name) one call looks at.
+# The suggestion threshold, and how many live entities (by name) one call looks at unless told otherwise.
 THRESHOLD, MOST = 0.6, 2000
 NO_UNIT = "00000000-0000-0000-0000-000000000000"
 
@@ -18,23 +18,42 @@ NO_UNIT = "00000000-0000-0000-0000-000000000000"
 def name_pairs(entities: DataFrame, threshold: float) -> DataFrame:
     """JOIN-10: (a, b, score) with a.id < b.id of names at least threshold alike, of compatible kinds.
 
-    A likeness above 0 needs a shared token or trigram (a prefix shares its first trigram), so entities meet on those:
-    an equi-join instead of all pairs. Kinds may differ only if one is 'other'.
+    Two names are that much alike by tokens, trigrams or prefix only if they share one of their rarest: of n tokens or
+    trigrams a set of likeness t shares one of the n - ceil(t n) + 1 rarest of either side, and a prefix of at least t
+    of a name's length is a prefix of both. So entities meet on few and rare keys, by an equi-join. Kinds may differ only
+    if one is 'other'.
+    """
+    named = schema.settled(entities.select("id", "kind", X.normalize_name("name").alias("n")).where("n <> ''").withColumn("tokens", F.array_distinct(X.tokens("n"))).withColumn("trigrams", X.trigrams("n")))
+    t = max(threshold - 1e-6, 1e-9)  # scores are rounded
+    rare = None
+    for what in ("tokens", "trigrams"):
+        parts = named.select("id", F.size(what).alias("m"), F.explode(what).alias("part"))
+        by_count = parts.join(parts.groupBy("part").count(), "part")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("count", "part"))
+        kept = by_count.withColumn("at", place).where(F.col("at") <= F.col("m") - F.ceil(t * F.col("m") - 1e-9) + 1).select("id", F.concat(F.lit(what[:2]), "part").alias("key"))
+        rare = kept if rare is None else rare.unionByName(kept)
+    start = lambda n: F.concat(F.lit("=" * 3), F.substring("n", F.lit(1), n))
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(t * F.length("n") - 1e-9)).cast("int"), F.length("n"))
+    begins = named.select("id", F.explode(F.transform(lengths, lambda k: start(k))).alias("key"))
+    whole = named.select("id", start(F.length("n")).alias("key"))
+    other = lambda df: df.select("key", F.col("id").alias("other"))
+    met = rare.join(other(rare), "key").unionByName(whole.join(other(begins), "key")).where("id <> other")
+    met = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    side = lambda s: named.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "tokens", "trigrams")])
+    rows = met.join(side("a"), "a").join(side("b"), "b").where("kind_a = kind_b OR kind_a = 'other' OR kind_b = 'other'")
+    score = X.name_similarity(F.col("n_a"), F.col("n_b"), tuple(F.col(c) for c in ("tokens_a", "tokens_b", "trigrams_a", "trigrams_b")))
+    return rows.select("a", "b", F.explode(F.array(F.round(score, 6))).alias("score")).where(F.col("score") >= threshold)
+
+
+def merge_suggestions(state: dict[str, DataFrame], threshold: float | None = None, limit: int | None = None, most: int | None = MOST) -> DataFrame:
+    """ENT-02..05: pairs that may be one entity: by embedding where both have one, else by name; dismissed pairs are out.
+
+    most is how many live entities are looked at, by name (ENT-03); None looks at all of them.
     """
-    named = entities.select("id", "kind", X.normalize_name("name").alias("n")).where("n <> ''")
-    keys = F.array_distinct(F.concat(X.tokens("n"), X.trigrams("n")))
-    dealt = named.select("*", F.explode(keys).alias("key"))
-    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "kind", "n")])
-    met = side(dealt, "a").join(side(dealt, "b"), "key").where("id_a < id_b AND (kind_a = kind_b OR kind_a = 'other' OR kind_b = 'other')").drop("key").distinct()
-    scored = met.withColumn("score", F.round(X.name_similarity(F.col("n_a"), F.col("n_b")), 6)).where(F.col("score") >= threshold)
-    return scored.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "score")
-
-
-def merge_suggestions(state: dict[str, DataFrame], threshold: float | None = None, limit: int | None = None) -> DataFrame:
-    """ENT-02..05: pairs that may be one entity: by embedding where both have one, else by name; dismissed pairs are out."""
     threshold = max(0.0, min(1.0, THRESHOLD if threshold is None else threshold))
-    live = state["entities"].where("merged_into_entity_id IS NULL").orderBy("name", "id").limit(MOST)
-    near = nearest_pairs(live, live, MOST, 1 - threshold + 1e-12).where("probe < other").select(F.col("probe").alias("a"), F.col("other").alias("b"), F.round("cos", 6).alias("score"), F.lit("embedding:cosine").alias("method"))
+    live = state["entities"].where("merged_into_entity_id IS NULL")
+    live = schema.settled(live if most is None else live.orderBy("name", "id").limit(most))
+    near = nearest_pairs(live, live, live.count(), 1 - threshold + 1e-12).where("probe < other").select(F.col("probe").alias("a"), F.col("other").alias("b"), F.round("cos", 6).alias("score"), F.lit("embedding:cosine").alias("method"))
     named = name_pairs(live, threshold).withColumn("method", F.lit("rule:name-similarity")).join(near.select("a", "b"), ["a", "b"], "left_anti")
     out = state["entity_merge_audit"].where("action = 'dismiss'").select(F.least("winner_entity_id", "loser_entity_id").alias("a"), F.greatest("winner_entity_id", "loser_entity_id").alias("b"))
     pairs = near.unionByName(named).join(out, ["a", "b"], "left_anti")
@@ -84,20 +103,19 @@ def merge(state: dict[str, DataFrame], winner: str, loser: str, now, note: str |
     fresh = fresh.join(aliases.where(F.col("entity_id") == winner).select(F.lower("alias").alias("key")), "key", "left_anti")
     added = fresh.select(X.uuid_of("alias", w, F.col("key")).alias("id"), w.alias("entity_id"), "alias")
     mine, scanned = F.col("subject_entity_id") == loser, (F.col("subject_entity_id") == winner) & F.col("contradiction_scanned_at").isNotNull() & (F.col("status") == "active")
-    new_units = units.withColumn("contradiction_scanned_at", F.when(mine | scanned, F.lit(None)).otherwise(F.col("contradiction_scanned_at"))).withColumn("subject_entity_id", F.when(mine, w).otherwise(F.col("subject_entity_id")))
+    new_units = schema.touched(units, mine | scanned, now).withColumn("contradiction_scanned_at", F.when(mine | scanned, F.lit(None)).otherwise(F.col("contradiction_scanned_at"))).withColumn("subject_entity_id", F.when(mine, w).otherwise(F.col("subject_entity_id")))
     moved = repointed_edges(edges, w, is_loser)
     kept = moved.where("dropped IS NULL").withColumn("source_entity_id", F.col("_s")).withColumn("target_entity_id", F.col("_t")).select(*edges.columns)
     below = F.col("merged_into_entity_id") == loser
-    new_entities = entities.withColumn("merged_into_entity_id", F.when(is_loser("id") | below, w).otherwise(F.col("merged_into_entity_id")))
+    new_entities = schema.touched(entities, is_loser("id") | below, now).withColumn("merged_into_entity_id", F.when(is_loser("id") | below, w).otherwise(F.col("merged_into_entity_id")))
     audit = entities.sparkSession.createDataFrame([(winner, loser, "merge", actor, note)], "winner_entity_id string, loser_entity_id string, action string, actor string, note string")
     audit = audit.withColumn("created_at", F.lit(now).cast("timestamp")).withColumn("id", X.uuid_of("merge", w, F.col("loser_entity_id"), F.col("created_at")))
-    one = lambda df, **aggs: df.agg(*[a.alias(n) for n, a in aggs.items()])
-    outcome = one(added, aliases_added=F.count("*")).join(one(units, units_repointed=F.count_if(mine), units_requeued_for_scan=F.count_if(mine | scanned)))
     ends = F.sum(F.when(F.col("dropped").isNull(), is_loser("source_entity_id").cast("int") + is_loser("target_entity_id").cast("int")).otherwise(0))
-    outcome = outcome.join(one(moved, relationships_repointed=F.coalesce(ends, F.lit(0)), relationships_dropped=F.count("dropped"))).join(one(entities, descendants_flattened=F.count_if(below)))
+    parts = {"aliases_added": (added, F.count("*")), "units_repointed": (units, F.count_if(mine)), "units_requeued_for_scan": (units, F.count_if(mine | scanned)), "relationships_repointed": (moved, F.coalesce(ends, F.lit(0))), "relationships_dropped": (moved, F.count("dropped")), "descendants_flattened": (entities, F.count_if(below))}
+    outcome = schema.one_row({name: df.agg(n.cast("bigint").alias("n")) for name, (df, n) in parts.items()})
     return state | {
         "entities": new_entities, "entity_aliases": aliases.where(~is_loser("entity_id")).unionByName(added), "atomic_units": new_units, "relationships": schema.settled(kept),
-        "entity_merge_audit": state["entity_merge_audit"].unionByName(schema.conform(audit, "entity_merge_audit")),
+        "entity_merge_audit": schema.grown(state["entity_merge_audit"], schema.conform(audit, "entity_merge_audit")),
     }, outcome.select(w.alias("winner_id"), F.lit(loser).alias("loser_id"), "*")
 
 
@@ -107,7 +125,7 @@ def dismiss(state: dict[str, DataFrame], a: str, b: str, now, note: str | None =
         raise BadRequestError("a pair needs two entities")
     row = state["entities"].sparkSession.createDataFrame([(a, b, "dismiss", actor, note)], "winner_entity_id string, loser_entity_id string, action string, actor string, note string")
     row = row.withColumn("created_at", F.lit(now).cast("timestamp")).withColumn("id", X.uuid_of("dismiss", F.col("winner_entity_id"), F.col("loser_entity_id"), F.col("created_at")))
-    return state | {"entity_merge_audit": state["entity_merge_audit"].unionByName(schema.conform(row, "entity_merge_audit"))}
+    return state | {"entity_merge_audit": schema.grown(state["entity_merge_audit"], schema.conform(row, "entity_merge_audit"))}
 
 
 def add_alias(state: dict[str, DataFrame], entity_id: str, alias: str) -> tuple[dict[str, DataFrame], bool]:
@@ -127,4 +145,4 @@ def add_alias(state: dict[str, DataFrame], entity_id: str, alias: str) -> tuple[
     if not state["entity_aliases"].where((F.col("entity_id") == entity_id) & same("alias")).isEmpty():
         return state, False
     row = live.sparkSession.createDataFrame([(entity_id, alias)], "entity_id string, alias string").withColumn("id", X.uuid_of("alias", F.col("entity_id"), F.lower("alias")))
-    return state | {"entity_aliases": state["entity_aliases"].unionByName(row.select("id", "entity_id", "alias"))}, True
+    return state | {"entity_aliases": schema.grown(state["entity_aliases"], row)}, True

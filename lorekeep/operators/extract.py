@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +27,16 @@ RULES = {
 VERBS = {"prefer": ("preference", "prefers"), "use": ("fact", "uses"), "have": ("fact", "has"), "am": ("fact", "is")}
 
 
-def rule_of(sentence: Column) -> Column:
+def plain_lower(sentence: Column) -> Column:
+    """Lower case, with s and k also for the letters that equal them in any case."""
+    return F.translate(F.lower(sentence), "\u017f\u212a", "sk")
+
+
+def rule_of(sentence: Column, low: Column) -> Column:
     """struct(kind, subject, object, relation, pattern, value, unit, verb, negated, date) of a trimmed sentence, or null.
 
+    low is the sentence in plain_lower().
+
     EXT-03..08: the first rule that matches decides, even if it then yields nothing.
     """
     got = lambda rule, group: F.regexp_extract(sentence, RULES[rule], group)
@@ -46,12 +54,19 @@ def rule_of(sentence: Column) -> Column:
         parts = {"kind": kind, "subject": subject, "object": obj, "relation": relation, "pattern": pattern, "value": value, "unit": unit, "verb": verb, "negated": negated, "date": date}
         return F.struct(*[lit(v).alias(k) for k, v in parts.items()])
 
+    # A rule is tried only on sentences that have the characters it needs.
+    has = lambda *parts: reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
+    tried = {
+        "decision": has("decided", "chose", "picked", "switched", "will", "agreed", "going"), "temporal": has("-") & has("on", "since", "starting"), "first_person": low.startswith("i") | low.startswith("we"),
+        "definition": has("means", "defined", "stands"), "numeric": has("is", "cost", "take", "weigh") & sentence.rlike(r"\d"),
+    }
+    fits = lambda rule: tried[rule] & sentence.rlike(RULES[rule])
     return (
-        F.when(sentence.rlike(RULES["decision"]), unit("decision", "decision", "Me", X.clean(got("decision", 1)), "decided_on"))
-        .when(sentence.rlike(RULES["temporal"]), unit("temporal_event", "event", no, date=got("temporal", 1)))
-        .when(sentence.rlike(RULES["first_person"]), unit("first_person", kind, "Me", F.when(~negated, X.clean(got("first_person", 3))), F.when(~negated, relation), verb=verb, negated=negated))
-        .when(sentence.rlike(RULES["definition"]), unit("definition", "fact", X.tidy(got("definition", 1)), X.tidy(got("definition", 2)), "defined_as"))
-        .when(sentence.rlike(RULES["numeric"]) & (F.octet_length(subject) >= 3) & ~F.lower(subject).isin("it", "that", "this"), unit("numeric", "claim", subject, value=got("numeric", 2), unit=X.tidy(got("numeric", 3))))
+        F.when(fits("decision"), unit("decision", "decision", "Me", X.clean(got("decision", 1)), "decided_on"))
+        .when(fits("temporal"), unit("temporal_event", "event", no, date=got("temporal", 1)))
+        .when(fits("first_person"), unit("first_person", kind, "Me", F.when(~negated, X.clean(got("first_person", 3))), F.when(~negated, relation), verb=verb, negated=negated))
+        .when(fits("definition"), unit("definition", "fact", X.tidy(got("definition", 1)), X.tidy(got("definition", 2)), "defined_as"))
+        .when(fits("numeric") & (F.octet_length(subject) >= 3) & ~F.lower(subject).isin("it", "that", "this"), unit("numeric", "claim", subject, value=got("numeric", 2), unit=X.tidy(got("numeric", 3))))
     )
 
 
@@ -60,9 +75,12 @@ def extract_units(chunks: DataFrame, text: str = "text") -> DataFrame:
 
     One pass per sentence without a shuffle; offsets (bytes) are worked out only for sentences that gave a unit.
     """
-    rows = chunks.withColumn("_pieces", X.sentence_pieces(text)).select("*", F.posexplode("_pieces").alias("_at", "_piece"))
-    rows = rows.withColumn("_sentence", X.trimmed("_piece")).where(F.octet_length("_sentence").between(MIN_BYTES, MAX_BYTES))
-    rows = rows.withColumn("_unit", rule_of(F.col("_sentence"))).where("_unit IS NOT NULL")
+    # Generators evaluate what they are given once for each row; as projections the rules would be repeated by each field
+    # (and an inner generator of anything but an array would be repeated in a filter before it).
+    sentence = lambda p: F.struct(p.alias("piece"), X.trimmed(p).alias("sentence"))
+    rows = chunks.withColumn("_pieces", X.sentence_pieces(text)).select("*", F.posexplode_outer(F.transform("_pieces", sentence)).alias("_at", "_s"))
+    rows = rows.select(*chunks.columns, "_pieces", "_at", F.col("_s.piece").alias("_piece"), F.col("_s.sentence").alias("_sentence")).where(F.octet_length("_sentence").between(MIN_BYTES, MAX_BYTES))
+    rows = rows.withColumn("_low", plain_lower(F.col("_sentence"))).select("*", F.explode(F.array(rule_of(F.col("_sentence"), F.col("_low")))).alias("_unit")).where("_unit IS NOT NULL")
     start = X.bytes_before(F.col("_pieces"), F.col("_at"))
     return rows.select(
         *chunks.columns, "_unit.*", X.tidy(F.regexp_replace("_sentence", r"[.!?]+\z", "")).alias("statement"), start.alias("char_start"),
@@ -141,10 +159,10 @@ def resolve_names(state: dict[str, DataFrame], names: DataFrame, now) -> tuple[d
     found = first.join(live, "key", "left").join(alias, "key", "left").withColumn("new_id", X.uuid_of("entity", F.col("key")))
     found = found.withColumn("entity_id", F.coalesce("by_name", "by_alias", "new_id"))
     fresh = found.where("by_name IS NULL AND by_alias IS NULL")
-    added = fresh.select(F.col("new_id").alias("id"), "name", F.when(F.col("name") == "Me", "person").otherwise("other").alias("kind"), F.lit(now).cast("timestamp").alias("created_at"))
+    added = fresh.select(F.col("new_id").alias("id"), "name", F.when(F.col("name") == "Me", "person").otherwise("other").alias("kind"), F.lit(now).cast("timestamp").alias("created_at"), F.lit(now).cast("timestamp").alias("updated_at"))
     added = schema.conform(added, "entities").join(entities.select("id"), "id", "left_anti").select(*entities.columns)
     out = wanted.join(found.select("key", "entity_id"), "key").select("name", "entity_id").distinct()
-    return state | {"entities": entities.unionByName(schema.settled(added))}, schema.settled(out)
+    return state | {"entities": schema.grown(entities, added)}, schema.settled(out)
 
 
 def persist_units(state: dict[str, DataFrame], units: DataFrame, now, method: str = "rule_based", model: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -164,7 +182,7 @@ def persist_units(state: dict[str, DataFrame], units: DataFrame, now, method: st
     first = ranked.where("_rank = 1").join(state["atomic_units"].select("statement_hash"), "statement_hash", "left_anti")
     stamp = F.lit(now).cast("timestamp")
     attrs = F.struct(*[(F.col(c) if c in units.columns else F.lit(None).cast("boolean" if c == "negated" else "string")).alias(c) for c in ("pattern", "value", "unit", "verb", "negated", "date")])
-    new = first.select(F.col("unit_id").alias("id"), "kind", "statement", "statement_hash", "subject_entity_id", "confidence", F.lit(method).alias("extraction_method"), F.lit(model).cast("string").alias("extraction_model"), "valid_from", F.lit("active").alias("status"), attrs.alias("attrs"), stamp.alias("created_at"))
+    new = first.select(F.col("unit_id").alias("id"), "kind", "statement", "statement_hash", "subject_entity_id", "confidence", F.lit(method).alias("extraction_method"), F.lit(model).cast("string").alias("extraction_model"), "valid_from", F.lit("active").alias("status"), attrs.alias("attrs"), stamp.alias("created_at"), stamp.alias("updated_at"))
     anchor = lambda kind: F.when(F.col("anchor") == kind, F.col("anchor_id"))
     provenance = ranked.select(
         X.uuid_of("provenance", F.col("unit_id"), F.col("anchor_id"), F.col("char_start"), F.col("char_end")).alias("id"), F.col("unit_id").alias("atomic_unit_id"), "artifact_id", anchor("message").alias("message_id"),

@@ -1,7 +1,11 @@
 """Bounded neighbourhoods over typed edges (GRAPH-01..04), degrees, and the recursive walk used to check them.
 
-An edge is walked both ways as two rows (node, other), so expansion is an equi-join and never an OR-join. Levels are
-expanded as sets of nodes; each level is one join against the edges whose partitioning by node is made once.
+An edge is walked both ways as two rows (node, other), so expansion is an equi-join and never an OR-join. adjacency()
+stores those rows in order of their node, as an index would; walks over it read only the row groups of their frontier.
+Every function takes either edges or such a stored adjacency, which is worth making once for many walks.
+
+A walk from one root keeps its frontier on the driver as long as it has at most FRONTIER nodes, and each level is then one
+filtered scan; larger frontiers and many roots are tables, and each level is one join that starts from the frontier.
 """
 
 from __future__ import annotations
@@ -12,19 +16,42 @@ from pyspark.sql import functions as F
 from lorekeep.plans.store import checkpointed
 
 EDGE = ["id", "source_entity_id", "target_entity_id", "relation_type", "confidence"]
-#: Frontiers up to this many nodes (16 bytes or so each) are sent to all tasks; larger ones are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: A frontier is sent to all tasks up to this many rows of two ids of at most 64 bytes (6 MB); larger ones are shuffled.
+BROADCAST_ROWS = 50_000
+#: Nodes of a single root's walk that the driver keeps.
+FRONTIER = 10_000
+#: A root's rows are ranked in so many parts first, and only the best of each part are ranked together.
+PARTS = 64
 
 
 def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
-    """JOIN-11: (node, other, id, columns) with two rows per active edge."""
+    """JOIN-11: (node, other, id, columns) with two rows per active edge; of a stored adjacency, its columns."""
+    if "node" in edges.columns:
+        return edges.select("node", "other", "id", *columns)
     live = edges.where("status = 'active'")
     ends = F.array(F.struct(F.col("source_entity_id").alias("node"), F.col("target_entity_id").alias("other")), F.struct(F.col("target_entity_id").alias("node"), F.col("source_entity_id").alias("other")))
     return live.select("id", *columns, F.explode(ends).alias("e")).select("e.node", "e.other", "id", *columns)
 
 
-def _bounded(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_NODES else df
+def adjacency(edges: DataFrame) -> DataFrame:
+    """The active edges as a stored table, two rows each, in ranges of (node, id): a hub's rows are spread over files, and
+    a filter on node skips all files and row groups but its own."""
+    return checkpointed(both_ways(edges, *EDGE[1:]).repartitionByRange("node", "id").sortWithinPartitions("node", "id"))
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _first(rows: DataFrame, k: int, *order: str) -> DataFrame:
+    """rows with at: their place within their root by the order; rows that cannot be among the first k are left out.
+
+    A root's rows are ranked in parts before they are ranked together, so no task has all rows of a root.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    early = F.row_number().over(Window.partitionBy("root", "_part").orderBy(*order))
+    few = rows.withColumn("_part", part).withColumn("_early", early).where(F.col("_early") <= k).drop("_part", "_early")
+    return few.withColumn("at", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where(F.col("at") <= k)
 
 
 def levels(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -33,24 +60,21 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int =
     roots has a column root. max_nodes (0: no bound) limits each root's nodes, the least ids of a level first; a root
     whose walk was cut is truncated. All roots advance together: one join and one ranking per level, however many.
     """
-    pairs = both_ways(edges).select("node", "other").distinct()
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("lvl")).distinct()
+    pairs = both_ways(edges)
+    seen = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("lvl")).distinct())
     cut = seen.select("root", F.lit(False).alias("truncated"))
     front, count = seen, seen.count()
     for lvl in range(1, max_depth):
-        near = pairs.join(_bounded(front.select("root", "node"), count), "node").select("root", F.col("other").alias("node")).distinct()
+        near = _small(front.select("root", "node"), count).join(pairs, "node").select("root", F.col("other").alias("node")).distinct()
         near = near.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         if max_nodes:
             room = seen.groupBy("root").agg((max_nodes - F.count("*")).alias("room"))
-            at = F.row_number().over(Window.partitionBy("root").orderBy("node"))
-            ranked = checkpointed(near.join(room, "root").withColumn("at", at).where(F.col("at") <= F.col("room") + 1))
+            ranked = checkpointed(_first(near, max_nodes + 1, "node").join(room, "root").where(F.col("at") <= F.col("room") + 1))
             over = ranked.groupBy("root").agg(F.max(F.col("at") > F.col("room")).alias("over"))
             cut = checkpointed(cut.join(over, "root", "left").select("root", (F.col("truncated") | F.coalesce("over", F.lit(False))).alias("truncated")))
-            near = ranked.where(F.col("at") <= F.col("room")).select("root", "node")
-            stopped = cut.where("truncated").select("root")
-            front = near.withColumn("lvl", F.lit(lvl))
-            seen = checkpointed(seen.unionByName(front))
-            front = front.join(stopped, "root", "left_anti")
+            near = ranked.where(F.col("at") <= F.col("room")).select("root", "node").withColumn("lvl", F.lit(lvl))
+            seen = checkpointed(seen.unionByName(near))
+            front = seen.where(F.col("lvl") == lvl).join(cut.where("truncated").select("root"), "root", "left_anti")
         else:
             front = checkpointed(near.withColumn("lvl", F.lit(lvl)))
             seen = seen.unionByName(front)
@@ -71,19 +95,52 @@ def neighborhoods(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_no
         return neighborhoods(edges, roots.limit(0), 1, max_nodes, max_edges)
     seen, cut = levels(edges, roots, max_depth, max_nodes)
     kept = [F.first(c).alias(c) for c in EDGE[1:]]
-    met = both_ways(edges, *EDGE[1:]).join(_bounded(seen, seen.count()), "node").groupBy("root", "id").agg((F.min("lvl") + 1).alias("depth"), *kept)
-    found = met.join(_bounded(cut, cut.count()), "root") if max_nodes else met.withColumn("truncated", F.lit(False))
+    met = _small(seen, seen.count()).join(both_ways(edges, *EDGE[1:]), "node").groupBy("root", "id").agg((F.min("lvl") + 1).alias("depth"), *kept)
+    found = met.join(_small(cut, cut.count()), "root") if max_nodes else met.withColumn("truncated", F.lit(False))
     if max_edges:
-        total = met.groupBy("root").agg((F.count("*") > max_edges).alias("over"))
-        found = found.join(total, "root").withColumn("truncated", F.col("truncated") | F.col("over"))
-        found = found.withColumn("at", F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))).where(F.col("at") <= max_edges)
+        found = checkpointed(_first(found, max_edges + 1, "depth", "id"))
+        over = found.where(F.col("at") > max_edges).select("root", F.lit(True).alias("_over"))
+        found = found.where(F.col("at") <= max_edges).join(over, "root", "left").withColumn("truncated", F.col("truncated") | F.col("_over").isNotNull())
     return found.select("root", "depth", F.col("id").alias("relationship_id"), *EDGE[1:], "truncated")
 
 
+def _walk(adj: DataFrame, root: str, max_depth: int, max_nodes: int) -> tuple[dict[str, int], bool] | None:
+    """(level by node, truncated) of one root; None where a frontier outgrows the driver's share."""
+    seen, front = {root: 0}, [root]
+    for lvl in range(1, max_depth):
+        room = max_nodes - len(seen) if max_nodes else FRONTIER
+        if max_nodes > FRONTIER or not front:
+            return (seen, False) if not front else None
+        near = adj.where(F.col("node").isin(front) & ~F.col("other").isin(list(seen))).select("other").distinct()
+        got = [r[0] for r in (near.orderBy("other") if max_nodes else near).limit(room + 1).collect()]  # at most FRONTIER + 1
+        if not max_nodes and len(got) + len(seen) > FRONTIER:
+            return None
+        seen |= dict.fromkeys(got[:room], lvl)
+        if len(got) > room:
+            return seen, True
+        front = got
+    return seen, False
+
+
 def neighborhood(edges: DataFrame, root: str, max_depth: int = 2, max_nodes: int = 1000, max_edges: int = 0) -> DataFrame:
     """GRAPH-01 for one root, in (depth, relationship_id) order."""
-    roots = edges.sparkSession.createDataFrame([(root,)], "root string")
-    return neighborhoods(edges, roots, max_depth, max_nodes, max_edges).drop("root").orderBy("depth", "relationship_id")
+    spark = edges.sparkSession
+    adj = both_ways(edges, *EDGE[1:])
+    walked = _walk(adj, root, max_depth, max_nodes) if max_depth >= 1 else None
+    if walked is None:
+        roots = spark.createDataFrame([(root,)], "root string")
+        return neighborhoods(edges, roots, max_depth, max_nodes, max_edges).drop("root").orderBy("depth", "relationship_id")
+    seen, truncated = walked
+    known = F.broadcast(spark.createDataFrame(list(seen.items()), "node string, lvl int"))  # at most FRONTIER rows
+    touched = adj.where(F.col("node").isin(list(seen))) if len(seen) <= 1000 else adj
+    rows = touched.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("lvl").alias("_far")), "other", "left")
+    # An edge between two known nodes is met from both ends: the nearer one counts, and of equal ones the source.
+    nearer = F.col("_far").isNull() | (F.col("_far") > F.col("lvl")) | ((F.col("_far") == F.col("lvl")) & (F.col("node") == F.col("source_entity_id")))
+    found = rows.where(nearer).select((F.col("lvl") + 1).alias("depth"), F.col("id").alias("relationship_id"), *EDGE[1:])
+    if max_edges:
+        truncated = truncated or found.limit(max_edges + 1).count() > max_edges
+    found = found.withColumn("truncated", F.lit(truncated)).orderBy("depth", "relationship_id")
+    return found.limit(max_edges) if max_edges else found
 
 
 def resolve_heads(entities: DataFrame, ids: DataFrame, hops: int = 8) -> DataFrame:

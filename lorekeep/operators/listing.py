@@ -76,6 +76,11 @@ def list_entities(state: dict[str, DataFrame], q=None, kind=None, limit=None, of
     return out.withColumn("alias_count", F.coalesce("alias_count", F.lit(0))).withColumn("edge_count", F.coalesce("edge_count", F.lit(0))).orderBy("name", "id")
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """FLT-13: rows with a column json, the row as an object of its non-null columns."""
+    return rows.withColumn("json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+
+
 def get_one(rows: DataFrame, id_: str, what: str) -> DataFrame:
     """FLT-05."""
     out = rows.where(F.col("id") == id_)

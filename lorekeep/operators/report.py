@@ -80,6 +80,21 @@ def rates(events: DataFrame, time: str, by: list[str], width: str = "5 minutes",
     return out.select(F.col("w.start").alias("start"), *by, "n", F.round(F.col("n") / minutes, 6).alias("per_minute"), F.round(F.col("ok") / F.greatest("n", F.lit(1)), 6).alias("ok_ratio"))
 
 
+def histogram(events: DataFrame, value: str, by: list[str], bounds: tuple[float, ...]) -> DataFrame:
+    """AGG-14, SRC-28: (by, le, n): how many values are at most each bound, and all of them as +Inf; nulls do not count."""
+    known = events.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count("*").alias("all"))
+    rows = F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))
+    return counts.select(*by, F.explode(rows).alias("r")).select(*by, "r.le", "r.n")
+
+
+def exposition(gauge_rows: DataFrame, histograms: DataFrame, name: str, labels: list[str]) -> DataFrame:
+    """SRC-28: (line) in the text format of metric scrapers, from gauges() and histogram() rows."""
+    one = gauge_rows.select(F.concat_ws(" ", "gauge", F.col("value").cast("string")).alias("line"))
+    tags = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c), F.lit('"')) for c in [*labels, "le"]])
+    return one.unionAll(histograms.select(F.concat(F.lit(f"{name}_bucket{{"), tags, F.lit("} "), F.col("n").cast("string"))))
+
+
 def gauges(state: dict[str, DataFrame]) -> DataFrame:
     """AGG-01, SRC-28, STR-07: open contradictions, units to scan, and files to extract, as (gauge, value)."""
     one = lambda name, df, cond: df.agg(F.count_if(cond).alias("value")).select(F.lit(name).alias("gauge"), "value")

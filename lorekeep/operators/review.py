@@ -26,7 +26,7 @@ def detail(state: dict[str, DataFrame], id_: str) -> DataFrame:
 def _audit(state: dict[str, DataFrame], rows: DataFrame, action: str, actor, note, now, before, after) -> DataFrame:
     stamp = F.lit(now).cast("timestamp")
     out = rows.select(X.uuid_of("audit", F.col("id"), action, stamp).alias("id"), F.col("id").alias("contradiction_id"), F.lit(action).alias("action"), F.lit(actor).alias("actor"), before.alias("from_status"), after.alias("to_status"), note.alias("note"), stamp.alias("created_at"))
-    return state["contradiction_audit"].unionByName(schema.conform(out, "contradiction_audit"))
+    return schema.grown(state["contradiction_audit"], schema.conform(out, "contradiction_audit"))
 
 
 def resolve_all(state: dict[str, DataFrame], decisions: DataFrame, now, actor: str = "local-user") -> dict[str, DataFrame]:
@@ -41,16 +41,17 @@ def resolve_all(state: dict[str, DataFrame], decisions: DataFrame, now, actor: s
     lost = ruled.select(fate.alias("f")).where("f IS NOT NULL").groupBy(F.col("f.id").alias("id")).agg(F.min("f.by").alias("_by"))
     marked = state["contradictions"].join(ruled.select("id", "resolution", "note"), "id", "left")
     change = lambda c, v: F.when(F.col("resolution").isNotNull(), v).otherwise(F.col(c)).alias(c)
-    new = {"status": F.col("resolution"), "resolved_at": stamp, "resolved_by": F.lit(actor), "resolution_note": F.col("note")}
+    new = {"status": F.col("resolution"), "resolved_at": stamp, "updated_at": stamp, "resolved_by": F.lit(actor), "resolution_note": F.col("note")}
     contradictions = marked.select(*[change(c, new[c]) if c in new else F.col(c) for c in state["contradictions"].columns])
     units = state["atomic_units"].join(lost, "id", "left")
     units = units.withColumn("status", F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("superseded_by_unit_id", F.coalesce("_by", "superseded_by_unit_id"))
-    units = units.withColumn("valid_to", F.when(F.col("_by").isNotNull(), F.coalesce("valid_to", stamp)).otherwise(F.col("valid_to"))).select(*state["atomic_units"].columns)
+    units = units.withColumn("valid_to", F.when(F.col("_by").isNotNull(), F.coalesce("valid_to", stamp)).otherwise(F.col("valid_to")))
+    units = schema.touched(units, F.col("_by").isNotNull(), now).select(*state["atomic_units"].columns)
     edges = state["relationships"].join(lost.select(F.col("id").alias("atomic_unit_id"), F.lit(True).alias("_lost")), "atomic_unit_id", "left")
     edges = edges.withColumn("status", F.when(F.col("_lost"), "superseded").otherwise(F.col("status"))).select(*state["relationships"].columns)
     audit = _audit(state, ruled, "resolve", actor, F.col("note"), now, F.lit("open"), F.col("resolution"))
-    changed = {"contradictions": contradictions, "atomic_units": units, "relationships": edges, "contradiction_audit": audit}
-    return state | {name: schema.settled(df) for name, df in changed.items()}
+    changed = {"contradictions": contradictions, "atomic_units": units, "relationships": edges}
+    return state | {name: schema.settled(df) for name, df in changed.items()} | {"contradiction_audit": audit}
 
 
 def resolve(state: dict[str, DataFrame], id_: str, resolution: str, now, note: str | None = None, actor: str = "local-user") -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
 from lorekeep.plans import schema
+from lorekeep.plans.store import appended
 
 # Relations of which a subject has one at most, base scores by rule, and the scan's parameters.
 FUNCTIONAL = ("lives_in", "works_at", "is", "decided_on")
@@ -23,7 +24,17 @@ def facts(units: DataFrame, relationships: DataFrame) -> DataFrame:
     """JOIN-22: active units with what pair scoring reads; assignments are gathered by unit, not looked up one by one."""
     held = relationships.where(F.col("relation_type").isin(*FUNCTIONAL)).groupBy("atomic_unit_id").agg(F.collect_set(F.struct(F.col("source_entity_id").alias("src"), F.col("relation_type").alias("rel"), F.col("target_entity_id").alias("tgt"))).alias("assignments"))
     rows = units.where("status = 'active'").join(held.withColumnRenamed("atomic_unit_id", "id"), "id", "left")
-    return rows.select("id", "statement", "attrs", F.col("subject_entity_id").alias("subject"), "valid_from", "valid_to", "created_at", "embedding", F.coalesce("assignments", F.array().cast("array<struct<src:string,rel:string,tgt:string>>")).alias("assignments"))
+    return features(rows.select("id", "statement", "attrs", F.col("subject_entity_id").alias("subject"), "valid_from", "valid_to", "created_at", "embedding", F.coalesce("assignments", F.array().cast("array<struct<src:string,rel:string,tgt:string>>")).alias("assignments")))
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """What a unit brings to every pair: content words, its words that have an opposite, negation, its number and unit.
+
+    They are worked out once a unit; scan() stores them before units meet.
+    """
+    poles = F.array(*[F.lit(w) for pair in X.ANTONYMS for w in pair])
+    number, unit = X.parse_number(F.col("attrs.value")), X.normalize_unit(F.col("attrs.unit"))
+    return rows.withColumn("words", F.array_distinct(X.content_tokens("statement"))).withColumn("poles", F.array_intersect(X.tokens("statement"), poles)).withColumn("negated", X.is_negated("statement")).withColumn("number", number).withColumn("measure", unit)
 
 
 def subject_pairs(units: DataFrame, probes: DataFrame, k: int = NEAREST) -> DataFrame:
@@ -105,27 +116,25 @@ def _number(x: Column) -> Column:
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """CON-02..09: pairs with score, method, explanation where a rule finds a conflict; others are left out.
 
-    pairs has structs a and b of facts() and a column cos (null: token likeness stands in). Rules go numeric, negation,
-    exclusive, antonym; the first that holds decides.
+    pairs has structs a and b of features() and a column cos (null: token likeness stands in). Rules go numeric,
+    negation, exclusive, antonym; the first that holds decides.
     """
     a, b = F.col("a"), F.col("b")
-    rows = pairs.withColumn("_ca", X.content_tokens(a["statement"])).withColumn("_cb", X.content_tokens(b["statement"])).withColumn("_ta", X.tokens(a["statement"])).withColumn("_tb", X.tokens(b["statement"]))
-    rows = rows.withColumn("_like", X.jaccard(F.col("_ca"), F.col("_cb"))).withColumn("_va", X.parse_number(a["attrs"]["value"])).withColumn("_vb", X.parse_number(b["attrs"]["value"]))
-    unit = X.normalize_unit(a["attrs"]["unit"])
-    larger = F.greatest(F.abs("_va"), F.abs("_vb"))
-    numeric = (a["attrs"]["pattern"] == "numeric") & (b["attrs"]["pattern"] == "numeric") & (a["subject"] == b["subject"]) & (unit == X.normalize_unit(b["attrs"]["unit"])) & (larger > 0) & (F.abs(F.col("_va") - F.col("_vb")) / larger > 0.10)
-    negation = (X.is_negated(a["statement"]) != X.is_negated(b["statement"])) & (F.col("_like") >= 0.5)
+    rows = pairs.withColumn("_like", X.jaccard(a["words"], b["words"]))
+    larger = F.greatest(F.abs(a["number"]), F.abs(b["number"]))
+    numeric = (a["attrs"]["pattern"] == "numeric") & (b["attrs"]["pattern"] == "numeric") & (a["subject"] == b["subject"]) & (a["measure"] == b["measure"]) & (larger > 0) & (F.abs(a["number"] - b["number"]) / larger > 0.10)
+    negation = (a["negated"] != b["negated"]) & (F.col("_like") >= 0.5)
     clash = F.filter(a["assignments"], lambda x: x["rel"].isin(*FUNCTIONAL) & F.exists(b["assignments"], lambda y: (x["src"] == y["src"]) & (x["rel"] == y["rel"]) & (x["tgt"] != y["tgt"])))
-    opposed = lambda x, y: F.array_contains("_ta", x) & F.array_contains("_tb", y)
-    antonym = F.coalesce(*[F.when(opposed(x, y) | opposed(y, x), F.lit(f"'{x}'/'{y}'")) for x, y in X.ANTONYMS])
+    opposed = lambda x, y: F.array_contains(a["poles"], x) & F.array_contains(b["poles"], y)
+    antonym = F.when((F.size(a["poles"]) > 0) & (F.size(b["poles"]) > 0), F.coalesce(*[F.when(opposed(x, y) | opposed(y, x), F.lit(f"'{x}'/'{y}'")) for x, y in X.ANTONYMS]))
     near = F.format_string("%.2f", F.col("_like"))
     found = (
-        F.when(F.coalesce(numeric, F.lit(False)), F.struct(F.lit("rule:numeric-mismatch").alias("method"), F.concat(F.lit("same subject and unit, conflicting values: "), _number(F.col("_va")), F.lit(" vs "), _number(F.col("_vb")), F.lit(" "), unit).alias("explanation")))
+        F.when(F.coalesce(numeric, F.lit(False)), F.struct(F.lit("rule:numeric-mismatch").alias("method"), F.concat(F.lit("same subject and unit, conflicting values: "), _number(a["number"]), F.lit(" vs "), _number(b["number"]), F.lit(" "), a["measure"]).alias("explanation")))
         .when(F.coalesce(negation, F.lit(False)), F.struct(F.lit("rule:negation").alias("method"), F.concat(F.lit("one statement negates the other over the same content (overlap "), near, F.lit(")")).alias("explanation")))
         .when(F.size(clash) > 0, F.struct(F.lit("rule:exclusive-assignment").alias("method"), F.concat(F.lit("same subject holds functional relation '"), F.get(clash, F.lit(0))["rel"], F.lit("' to two different entities")).alias("explanation")))
         .when(antonym.isNotNull() & (F.col("_like") >= 0.3), F.struct(F.lit("rule:antonym").alias("method"), F.concat(F.lit("opposing predicates "), antonym, F.lit(" over similar content (overlap "), near, F.lit(")")).alias("explanation")))
     )
-    rows = rows.withColumn("_found", found).where("_found IS NOT NULL")
+    rows = rows.withColumn("_found", F.explode(F.array(found))).where("_found IS NOT NULL")  # a generator, so the rules are worked out once
     base = F.coalesce(*[F.when(F.col("_found.method") == m, v) for m, v in BASE.items()])
     damp = F.when(X.windows_disjoint(a["valid_from"], a["valid_to"], b["valid_from"], b["valid_to"]), 0.5).otherwise(1.0)
     score = base * (0.6 + 0.4 * F.coalesce("cos", "_like")) * damp
@@ -146,7 +155,7 @@ def scan(state: dict[str, DataFrame], now, threshold: float = THRESHOLD, k: int
 
     A pair is stored once, under the lesser id first, as seen from the unit that is scanned first (created_at, id).
     """
-    known = facts(state["atomic_units"], state["relationships"])
+    known = schema.settled(facts(state["atomic_units"], state["relationships"]))
     waiting = state["atomic_units"].where("contradiction_scanned_at IS NULL AND status = 'active'").select("id")
     probes = known.join(waiting, "id", "left_semi")
     one = known.select(F.col("id").alias("probe"), F.struct(*known.drop("embedding").columns).alias("a"))
@@ -158,14 +167,14 @@ def scan(state: dict[str, DataFrame], now, threshold: float = THRESHOLD, k: int
     first = F.row_number().over(Window.partitionBy("unit_a_id", "unit_b_id").orderBy(F.col("a.created_at"), "probe"))
     stamp = F.lit(now).cast("timestamp")
     rows = scored.withColumn("_first", first).where("_first = 1").select(
-        X.uuid_of("contradiction", F.col("unit_a_id"), F.col("unit_b_id")).alias("id"), "unit_a_id", "unit_b_id", "score", F.col("method").alias("detection_method"), "explanation", F.lit("open").alias("status"), stamp.alias("detected_at")
+        X.uuid_of("contradiction", F.col("unit_a_id"), F.col("unit_b_id")).alias("id"), "unit_a_id", "unit_b_id", "score", F.col("method").alias("detection_method"), "explanation", F.lit("open").alias("status"), stamp.alias("detected_at"), stamp.alias("updated_at")
     )
     new = schema.conform(rows, "contradictions").join(state["contradictions"].select("unit_a_id", "unit_b_id"), ["unit_a_id", "unit_b_id"], "left_anti").select(*state["contradictions"].columns)
     new = schema.settled(new)
     audit = new.select(X.uuid_of("audit", F.col("id"), "detected").alias("id"), F.col("id").alias("contradiction_id"), F.lit("detected").alias("action"), F.lit("scanner").alias("actor"), F.lit("open").alias("to_status"), F.col("explanation").alias("note"), stamp.alias("created_at"))
     done = F.when(F.col("contradiction_scanned_at").isNull() & (F.col("status") == "active"), stamp).otherwise(F.col("contradiction_scanned_at"))
     return state | {
-        "contradictions": state["contradictions"].unionByName(new),
-        "contradiction_audit": state["contradiction_audit"].unionByName(schema.conform(audit, "contradiction_audit")),
-        "atomic_units": state["atomic_units"].withColumn("contradiction_scanned_at", done),
+        "contradictions": appended(state["contradictions"], new),
+        "contradiction_audit": schema.grown(state["contradiction_audit"], schema.conform(audit, "contradiction_audit")),
+        "atomic_units": schema.touched(state["atomic_units"], F.col("contradiction_scanned_at").isNull() & (F.col("status") == "active"), now).withColumn("contradiction_scanned_at", done),
     }, new

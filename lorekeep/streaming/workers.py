@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep.functions import text as X
-from lorekeep.operators.extract import extract_units
+from lorekeep.operators.extract import extract_units, persist_units
 from lorekeep.operators.scan import scan
 from lorekeep.plans import store
 
@@ -46,10 +46,24 @@ def once_per_key(target: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_extraction(spark: SparkSession, folder: str, target: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """STR-01, STR-03, STR-06, MUT-09: units of new chunks, each statement once. The checkpoint is the cursor, and what a
-    crash left half done is done again. interval None: what is there now, then stop."""
-    writer = unit_stream(chunk_stream(spark, folder)).writeStream.foreachBatch(once_per_key(target, "statement_hash")).option("checkpointLocation", checkpoint)
+def into_state(target: str, now: datetime | None = None) -> Callable[[DataFrame, int], None]:
+    """STR-05: a batch writer that adds a batch's units, provenance, entities and edges to the stored state.
+
+    All of a batch becomes visible by one pointer swap, and ids come from natural keys, so a batch that is repeated after
+    a crash adds nothing. Each version stores only the rows that are new.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        state = store.load(batch.sparkSession, target)
+        state, _ = persist_units(state, extract_units(batch), now or datetime.now(timezone.utc))
+        store.save(state, target)
+
+    return write
+
+
+def run_extraction(spark: SparkSession, folder: str, target: str, checkpoint: str, interval: str | None = None, now: datetime | None = None, files_per_trigger: int = 8) -> StreamingQuery:
+    """STR-01, STR-03, STR-06, MUT-09: new chunks into the stored state. The checkpoint is the cursor, and what a crash
+    left half done is done again. interval None: what is there now, then stop."""
+    writer = chunk_stream(spark, folder, files_per_trigger).writeStream.foreachBatch(into_state(target, now)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
 
 
