@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a worker keeps in each of two generations; when the newer is full it becomes the older, which bounds memory
-#: and keeps frequent words.
+#: and keeps frequent words. A generation is also full when its long words, of LONG bytes and more, take LONG_BYTES.
 CACHE_WORDS = 350_000
+LONG, LONG_BYTES = 64, 32 << 20
 #: Starts of the UTF-8 forms of white space beyond ASCII.
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Latin letters, then ASCII punctuation that starts no contraction or special token: such a word is two pre-tokens, in composed form already.
@@ -39,14 +40,16 @@ class _Words(dict):
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self._encode, self._limit, self._older = encode, limit, {}
+        self._encode, self._limit, self._older, self._long = encode, limit, {}, 0
 
     def __missing__(self, word):
         found = self._older.get(word)
         if found is None:
             found = self._encode(word)
-        if len(self) >= self._limit:
-            self._older = dict(self)
+        if len(word) >= LONG:
+            self._long += len(word) + len(found)
+        if len(self) >= self._limit or self._long > LONG_BYTES:
+            self._older, self._long = dict(self), 0
             self.clear()
         self[word] = found
         return found
@@ -165,11 +168,11 @@ def id_type(path: str) -> np.dtype:
     return encoder(path).dtype
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", bounds: np.ndarray | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", also: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(key, ids): every whole text's ids, with end_id at the end, as little-endian binary of id_type(path) width.
 
-    With bounds (ascending keys) also shard int: how many bounds are not above the key, -1 for a null key. A null text
-    counts as empty. Rows are neither dropped nor merged, so repeated rows give repeated rows.
+    also names a further column that is kept. A null text counts as empty. Rows are neither dropped nor merged, so
+    repeated rows give repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +180,10 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for part in batches:
             columns, names = [part.column(0), pa.array([enc.encode(t or b"") + end for t in part.column(1).to_pylist()], pa.binary())], ["k", "ids"]
-            if bounds is not None:
-                shards = [-1 if k is None else int(np.searchsorted(bounds, k, "right")) for k in part.column(0).to_pylist()]
-                columns, names = [*columns, pa.array(shards, pa.int32())], [*names, "shard"]
+            if also:
+                columns, names = [*columns, part.column(2)], [*names, also]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, ids binary" + ", shard int" * (bounds is not None)).withColumnRenamed("k", key)
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), *([also] if also else []))
+    return rows.mapInArrow(run, f"k {kind(key)}, ids binary" + (f", {also} {kind(also)}" if also else "")).withColumnRenamed("k", key)

@@ -38,9 +38,16 @@ def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
 
     rank 1 is the branch of the highest summed score (null scores count 0; ties by leaf); the first per_tree ranks are
     chosen, all if None. A parent that is not there makes its child a root. Of rows with the same (tree, node) the least
-    by (parent, role, text, score) counts. Nodes on or below a cycle have no root and give no path; a null node or tree
-    gives none. An empty table gives no rows.
+    by (parent, role, text, score) counts. Nodes on or below a cycle have no root and give no path; a null node gives
+    none; rows without a tree are one tree. An empty table gives no rows.
     """
+    if messages.schema["tree"].nullable and not messages.where("tree IS NULL").isEmpty():
+        wrapped = messages.withColumn("tree", F.struct("tree"))  # equal to itself even around a null
+        return _paths(wrapped, per_tree).withColumn("tree", F.col("tree.tree"))
+    return _paths(messages, per_tree)
+
+
+def _paths(messages: DataFrame, per_tree: int | None) -> DataFrame:
     fields = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = messages.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min(fields).alias("m")).select("tree", "node", "m.*")
     nodes = written(nodes, "tree-nodes")

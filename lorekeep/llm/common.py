@@ -1,7 +1,8 @@
-"""Shared pieces: the scratch folder, written tables, shard bounds and connected components."""
+"""Shared pieces: the scratch folder, written tables, shards by key ranges and connected components."""
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -76,19 +77,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shard_bounds(docs: DataFrame, key: str, rows_per_shard: int = 8192) -> list[int]:
-    """Ascending key values at which shards 1, 2, ... start, from all rows; one value per shard, never one per row.
+#: A table of shard starts goes to all tasks up to this many starts of 8 bytes, and is joined by a shuffle beyond.
+BROADCAST_STARTS = 1_000_000
 
-    Each bound is a value of the column. The count of shards follows the row count, and is never below the session's
-    shuffle partitions. Empty or all-null tables give no bound, that is one shard.
+
+def range_shards(docs: DataFrame, key: str, rows_per_shard: int = 8192) -> tuple[DataFrame, int, int]:
+    """(docs with _shard, _starts and _before, count of shards at most, the last shard): shards of about rows_per_shard rows
+    in ascending order of an integer key.
+
+    _shard (long) rises with the key; nulls are in the first one. _starts says whether the key is the least one of its
+    shard, and _before is then the shard before. Starts are values of the column, found over all rows in two levels of
+    about the square root of the count of shards each: the coarse ones are all that reaches the driver, the fine ones
+    stay a table. An empty or all-null table has one shard.
     """
+    spark = docs.sparkSession
     n = docs.select(F.count(key)).first()[0]
-    shards = max(shuffle_partitions(docs.sparkSession), -(-n // rows_per_shard))
-    if n == 0 or shards < 2:
-        return []
-    at = [i / shards for i in range(1, shards)]
-    found = docs.select(F.percentile_approx(key, at, F.lit(max(10_000, 20 * shards))).alias("b")).first()["b"]
-    return sorted(set(found))
+    k = max(1, math.isqrt(max(shuffle_partitions(spark), -(-n // rows_per_shard)) - 1) + 1)
+    at, accuracy = [i / k for i in range(1, k)], F.lit(max(10_000, 20 * k))
+    coarse = sorted(set(docs.select(F.percentile_approx(key, at, accuracy)).first()[0] or [])) if at and n else []
+    long = "bigint"
+    known = F.array(*[F.lit(x).cast(long) for x in coarse]) if coarse else F.array().cast(f"array<{long}>")
+    part = F.coalesce(F.size(F.filter(known, lambda x: x <= F.col(key))), F.lit(0))
+    first = F.get(known, F.col("_part") - 1)
+    nothing = F.array().cast(f"array<{long}>")
+    if at and n:
+        found = docs.where(F.col(key).isNotNull()).select(part.alias("_part"), F.col(key).cast(long).alias("_k")).groupBy("_part").agg(F.percentile_approx("_k", at, accuracy).alias("f"), F.min("_k").alias("least"))
+        fine = found.select("_part", F.array_sort(F.array_distinct(F.filter("f", lambda x: x > F.coalesce(first, F.col("least"))))).alias("_fine"))
+    else:
+        fine = spark.range(1).select(F.lit(0).alias("_part"), nothing.alias("_fine"))
+    fine = written(fine, "shard-starts")
+    sizes = fine.select((F.col("_part") + 1).alias("_part"), F.size("_fine").cast(long).alias("_last"))
+    fine = fine.join(sizes, "_part", "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
+    total, last = fine.agg(F.sum(F.size("_fine") + 1), F.max(F.col("_part") * (1 << 32) + F.size("_fine"))).first()
+    fine = F.broadcast(fine) if (total or 0) <= BROADCAST_STARTS else fine
+    rows = docs.withColumn("_part", part).join(fine, "_part", "left").withColumn("_fine", F.coalesce("_fine", nothing))
+    at_start = F.coalesce(F.array_contains("_fine", F.col(key).cast(long)) | (F.col(key) == first), F.lit(False))
+    index = F.coalesce(F.size(F.filter("_fine", lambda x: x <= F.col(key))), F.lit(0))
+    rows = rows.withColumn("_shard", F.col("_part") * (1 << 32) + index).withColumn("_starts", at_start)
+    before = F.when(index > 0, F.col("_shard") - 1).otherwise((F.col("_part") - 1) * (1 << 32) + F.coalesce("_last", F.lit(0)))
+    rows = rows.withColumn("_before", F.when(F.col("_starts"), before))
+    return rows.select(*[quoted(c) for c in docs.columns], "_shard", "_starts", "_before"), (total or 0) + 1, last or 0
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

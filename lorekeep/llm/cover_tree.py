@@ -198,12 +198,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK,
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, far, dims = [], [], []
-            for v in _floats(b.column(2)):
-                near = tops[len(v)] @ unit(v[None])[0] if len(v) in tops else np.array([-1.0])
-                cells.append(int(near.argmax()))
-                far.append(math.sqrt(max(0.0, 2 - 2 * float(near.max()))))
-                dims.append(len(v))
+            vectors = _floats(b.column(2))
+            dims = np.array([len(v) for v in vectors], np.int32)
+            cells, far = np.zeros(len(vectors), np.int32), np.full(len(vectors), 2.0)
+            for d in np.unique(dims):
+                at = np.nonzero(dims == d)[0]
+                if int(d) in tops:
+                    near = unit(np.stack([vectors[i] for i in at])) @ tops[int(d)].T
+                    cells[at], far[at] = near.argmax(1), np.sqrt(np.maximum(2 - 2 * near.max(1), 0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims, pa.int32()), pa.array(cells, pa.int32()), pa.array(far, pa.float64())], names=["cls", "many", "v", "dim", "cell", "far"])
 
     dealt = written(classes.select("cls", "many", "v").mapInArrow(deal, "cls long, many long, v array<double>, dim int, cell int, far double"), "vector-cells")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, quoted
 
 DIMENSIONS = 8192
 CENTROIDS = 4
@@ -160,12 +160,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _with(docs: DataFrame, run, added: str) -> DataFrame:
+    """docs with the columns added; columns of docs that have such a name, in any case, are replaced."""
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(added)
-    kept = [f for f in docs.schema if f.name not in new.names]
-    rows = docs.select(*[f.name for f in kept], F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, T.StructType([*kept, *new.fields]))
+    names = {n.lower() for n in new.names}
+    kept = [f for f in docs.schema if f.name.lower() not in names]
+    # Columns have plain names on the way, as names with dots would not be found.
+    rows = docs.select(*[F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)], F.col("text").cast("string").alias("text"))
+    out = [*(f.name for f in kept), *new.names]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=out)
+
+    return rows.mapInArrow(renamed, T.StructType([*kept, *new.fields]))
 
 
 def fold(modulus: int) -> Column:

@@ -1,15 +1,17 @@
 """Personal data by patterns, and by contexts that are bootstrapped from what the patterns find.
 
 Base detectors are regular expressions with checks (emails, IP addresses, cards, phone numbers), as leftmost
-non-overlapping matches per kind. They seed the contextual method:
-
-1. Every identifier-like token (a run of non-blanks with a digit or @) and every base match is an instance, and the two
-   words before it, with what stands between, are its lexical pattern. Tokens that overlap a base match are not
-   instances of their own.
-2. Patterns that stand before at least SUPPORT distinct base values of a kind are candidates of that kind. Patterns and
-   instances form a bipartite graph. In each of ROUNDS rounds a pattern's confidence is the mean confidence of its
-   distinct instances, and an unknown instance's confidence is that at least one of its patterns is right
-   (1 - product of 1 - confidence); base values keep 1, and instances start at 0.
+non-overlapping matches per kind. They, and secrets of a shape that nothing else has (32 and more hexadecimal digits, spans
+of kind ``secret``), seed the contextual method:
+
+1. Every identifier-like token (a run of non-blanks with a digit or @) and every seed is an instance, and the two words
+   before it, with what stands between, are its lexical pattern. Tokens that overlap a base match are not instances of
+   their own.
+2. In each of ROUNDS rounds the patterns that stand before at least SUPPORT distinct known values of a kind are candidates
+   of that kind: seeds are known, and so are tokens whose confidence for the kind has come to CONFIDENCE, so what one
+   pattern finds induces further patterns. Patterns and instances form a bipartite graph. A pattern's confidence is the
+   mean confidence of its distinct instances, and an unknown instance's is that at least one of its patterns is right
+   (1 - product of 1 - confidence); seeds keep 1, and instances start at 0.
 3. Tokens after a pattern of at least CONFIDENCE, whose own confidence is as high, are new spans of kind ``context``.
 
 Offsets are code points, ends exclusive. DataFrame functions only. Only texts with a digit or @ are worked on further;
@@ -22,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, free_name, quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = "context"
+SECRET, CONTEXT = "secret", "context"
+#: A token that is a secret by its shape, whatever marks stand around it.
+SECRET_REGEX = r"^[^\p{L}\p{N}]*+(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}+[^\p{L}\p{N}]*$"
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
 #: In words of more code points than this, what stands before a base match counts from the last match of its kind.
 LONG_WORD = 4096
@@ -83,7 +87,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, kind, start, end, value, pattern): valid base matches, and tokens that overlap none of them.
+    """(doc_id, th, kind, start, end, value, pattern): valid base matches, secrets, and tokens that overlap no base match.
 
     texts has distinct (doc_id, text); th is the text's hash.
     """
@@ -107,40 +111,46 @@ def occurrences(texts: DataFrame) -> DataFrame:
     behind = Window.partitionBy("doc_id", "th").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("_reached", F.max(F.when(base, F.col("end"))).over(ahead)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(behind))
     free = F.coalesce(F.col("_reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_next") >= F.col("end"), F.lit(True))
-    found = found.where(base | free)
+    secret = ~base & F.col("match").rlike(SECRET_REGEX)
+    found = found.where(base | free | secret)
     lead = F.when(base, 0).otherwise(F.length(F.regexp_extract("match", r"^([^\p{L}\p{N}@+]*)", 1)))
     trail = F.when(base, 0).otherwise(F.length(F.regexp_extract("match", r"([^\p{L}\p{N}]*)$", 1)))
     value = F.when(base, F.col("match")).otherwise(F.regexp_extract("match", r"^[^\p{L}\p{N}@+]*(.*?)[^\p{L}\p{N}]*$", 1))
-    out = found.select("doc_id", "th", "kind", (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), value.alias("value"), "pattern")
+    kind = F.when(secret, F.lit(SECRET)).otherwise(F.col("kind"))
+    out = found.select("doc_id", "th", kind.alias("kind"), (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), value.alias("value"), "pattern")
     return out.where(F.col("end") > F.col("start"))
 
 
-def scored_patterns(found: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """((kind, pattern, confidence), (kind, value, confidence)) of the pattern-instance graph.
+def scored_patterns(found: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """((kind, pattern, confidence), (kind, value, confidence)) of the pattern-instance graph after the last round.
 
     All counts are over distinct values, combined before they are shuffled, so a very frequent line weighs as one.
     """
-    seeds = found.where("kind <> 'token' AND pattern <> ''").select("kind", "pattern", "value").distinct()
-    strong = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("kind", "pattern")
-    strong = written(strong, "pii-patterns")
-    tokens = found.where("kind = 'token' AND pattern <> ''").select("pattern", "value").distinct().join(strong, "pattern").select("kind", "pattern", "value")
-    edges = seeds.join(strong, ["kind", "pattern"], "left_semi").withColumn("seed", F.lit(1.0)).unionByName(tokens.withColumn("seed", F.lit(0.0)))
-    edges = written(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
-    known = edges.groupBy("kind", "value").agg(F.max("seed").alias("confidence"))
-    patterns = None
+    met = written(found.where("pattern <> ''").select("kind", "pattern", "value").distinct(), "pii-instances")
+    seeds, tokens = met.where("kind <> 'token'"), met.where("kind = 'token'").select("pattern", "value")
+    known = seeds.select("kind", "value").distinct().withColumn("confidence", F.lit(1.0))
+    patterns, old = None, []
     for _ in range(rounds):
-        patterns = edges.join(known, ["kind", "value"]).groupBy("kind", "pattern").agg(F.avg("confidence").alias("confidence"))
-        patterns = written(patterns, "pii-pattern-scores")
+        sure = known.where(F.col("confidence") >= confidence).select("kind", "value")
+        held = seeds.unionByName(tokens.join(sure, "value").select("kind", "pattern", "value")).distinct()
+        strong = written(held.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("kind", "pattern"), "pii-patterns")
+        edges = seeds.join(strong, ["kind", "pattern"], "left_semi").withColumn("seed", F.lit(1.0))
+        edges = edges.unionByName(tokens.join(strong, "pattern").select("kind", "pattern", "value", F.lit(0.0).alias("seed")))
+        edges = written(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
+        believed = F.greatest("seed", F.coalesce("confidence", F.lit(0.0)))
+        patterns = written(edges.join(known, ["kind", "value"], "left").groupBy("kind", "pattern").agg(F.avg(believed).alias("confidence")), "pii-pattern-scores")
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12))))
-        known = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg(F.greatest(F.max("seed"), 1 - F.exp(miss)).alias("confidence"))
-        known = written(known, "pii-value-scores")
+        known = written(edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg(F.greatest(F.max("seed"), 1 - F.exp(miss)).alias("confidence")), "pii-value-scores")
+        drop_written(*old, strong, edges)
+        old = [patterns, known]
+    drop_written(met)
     return patterns, known
 
 
 def spans(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, th, kind, start, end): all spans of the candidate texts, once for each distinct (doc_id, text)."""
     found = written(occurrences(candidates(docs)), "pii-occurrences")
-    patterns, values = scored_patterns(found, support, rounds)
+    patterns, values = scored_patterns(found, support, rounds, confidence)
     tokens = found.where("kind = 'token'").drop("kind")
     new = tokens.join(patterns.where(F.col("confidence") >= confidence).select("kind", "pattern"), "pattern")
     new = new.join(values.where(F.col("confidence") >= confidence).select("kind", "value"), ["kind", "value"], "left_semi")
@@ -150,7 +160,7 @@ def spans(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENC
 
 def by_document(all_spans: DataFrame) -> DataFrame:
     """(doc_id, th, spans): spans array<struct<start, rank, kind, end>> in order, for candidate rows that have any."""
-    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate((*KINDS, CONTEXT))])
+    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate((*KINDS, SECRET, CONTEXT))])
     one = F.struct("start", rank.alias("rank"), "kind", "end")
     return all_spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(one)).alias("spans"))
 
@@ -175,8 +185,9 @@ def redacted(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     n_chars, where there is such a column, is set to the new length. Rows without spans pass unchanged.
     """
     held = by_document(spans(docs.select("doc_id", "text"), support, confidence, rounds))
-    rows = candidates(docs).withColumn("_th", F.xxhash64("text")).alias("r")
-    joined = rows.join(held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r._th") == F.col("h.th")), "left")
+    th, new = free_name("_th", docs), free_name("_new", docs)
+    rows = candidates(docs).withColumn(th, F.xxhash64("text")).alias("r")
+    joined = rows.join(held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col(f"r.{th}") == F.col("h.th")), "left")
     step = F.aggregate(
         F.coalesce("h.spans", F.array().cast(held.schema["spans"].dataType)),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
@@ -188,7 +199,14 @@ def redacted(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("r.text"), (a["at"] + 1).cast("int"), F.length(F.col("r.text")))),
     )
-    changed = joined.withColumn("_new", F.when(F.col("h.spans").isNotNull(), step).otherwise(F.col("r.text")))
-    columns = [F.col("_new").alias(c) if c == "text" else F.when(F.col("_new") != F.col("r.text"), F.length("_new").cast("bigint")).otherwise(F.col(f"r.{c}")).alias(c) if c == "n_chars" else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
+    changed = joined.withColumn(new, F.when(F.col("h.spans").isNotNull(), step).otherwise(F.col("r.text")))
+
+    def column(c: str):
+        if c == "text":
+            return F.col(new).alias(c)
+        if c == "n_chars":
+            return F.when(F.col(new) != F.col("r.text"), F.length(new).cast("bigint")).otherwise(F.col(f"r.{c}")).alias(c)
+        return F.col(f"r.{quoted(c)}").alias(c)
+
     rest = docs.where(~F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)))
-    return changed.select(*columns).unionByName(rest)
+    return changed.select(*[column(c) for c in docs.columns]).unionByName(rest)

@@ -64,7 +64,7 @@ FROM sized GROUP BY conv_id
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(read(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind: str) -> Column:
@@ -77,6 +77,15 @@ def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+walk(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, (SELECT min(b) FROM walk WHERE walk.a = v.vec_id) AS component_id, (SELECT min(b) FROM walk WHERE walk.a = v.vec_id) = v.vec_id AS kept FROM v
+"""
+
+
 def op5_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     encoded = word_table.encode(read(spark, sf_dir, "documents"), path)
@@ -95,7 +104,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), F.coalesce(langid.fold(3) == 1, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +122,4 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_reply_trees": op2_reply_trees, "op3_pii": op3_pii, "op4_cover_tree": op4_cover_tree, "op1_token_blocks": op1_token_blocks, "op5_word_table": op5_word_table, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_packing": op8_packing, "op9_simhash": op9_simhash, "op10_scaled_sketch": op10_scaled_sketch}
-ORACLE_SQL: dict[str, str] = {"op2_reply_trees": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_reply_trees": OP2_SQL, "op4_cover_tree": OP4_SQL}

@@ -3,8 +3,9 @@
 A shingle is WORDS consecutive words (ASCII white space parts words); a shorter text is one shingle, a wordless text has
 none. A word's hash is XXH64, a shingle's is XXH64 chained over its words' hashes, and a sketch is the ascending array of
 the distinct hashes below the threshold. As the threshold is the same for all texts, sketches of very unequal texts are
-comparable, the sketch of a union is the union of sketches, and containment is estimated without bias. A text none of
-whose hashes is below the threshold keeps its least hash, so only wordless texts have an empty sketch.
+comparable, the sketch of a union is the union of sketches, and containment is estimated without bias. A short text may have an empty
+sketch. as_text() therefore has the text's least hash beside the sketch, whatever it is: by it, and by nothing else, two
+texts without a sketch are compared.
 
 DataFrame functions only; memory is that of one text's words.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shard_bounds
+from .common import range_shards
 
 WORDS = 5
 FRACTION = 1 / 8
@@ -27,7 +28,8 @@ def threshold(fraction: float) -> int:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
-    """df with column out, the sketch (array<bigint>) of the text column; null texts count as empty."""
+    """df with column out, the sketch (array<bigint>) of the text column, and out_least, the least of all its hashes (null
+    without a word); null texts count as empty."""
     w, h = f"_{out}_w", f"_{out}_h"
     spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     df = df.withColumn(w, F.when(spaced == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(spaced, " "), lambda x: F.xxhash64(x))))
@@ -35,20 +37,21 @@ def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction
     whole = F.array(F.aggregate(w, F.lit(42).cast("bigint"), lambda a, x: F.xxhash64(a, x)))
     df = df.withColumn(h, F.when(F.size(w) == 0, F.col(w)).when(F.size(w) <= words, whole).otherwise(runs))
     low = F.filter(h, lambda x: x < F.lit(threshold(fraction)))
-    df = df.withColumn(w, low)
-    kept = F.when(F.size(w) > 0, F.sort_array(F.array_distinct(w))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.col(w))
-    return df.withColumn(out, kept).drop(w, h)
+    return df.withColumn(out, F.sort_array(F.array_distinct(low))).withColumn(f"{out}_least", F.array_min(h)).drop(w, h)
 
 
-def as_text(sketch: str | Column) -> Column:
-    """16 hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def as_text(sketch: str) -> Column:
+    """The fingerprint of a with_sketch() column: 16 hexadecimal digits a hash of the sketch, or, without one, ``~`` and the
+    least hash; empty without a word."""
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    return F.when(F.size(sketch) > 0, F.array_join(F.transform(sketch, digits), "")).otherwise(F.coalesce(F.concat(F.lit("~"), digits(F.col(f"{sketch}_least"))), F.lit("")))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard likeness, 0 to 1; two empty sketches are alike."""
+    """Estimated Jaccard likeness, 0 to 1, of two with_sketch() columns; texts without sketches are alike if their least
+    hashes are one, which has the probability of their likeness."""
     both = F.size(F.array_union(a, b))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
+    return F.when(both == 0, F.col(f"{a}_least").eqNullSafe(F.col(f"{b}_least")).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
 def containment(part: str, whole: str) -> Column:
@@ -56,11 +59,9 @@ def containment(part: str, whole: str) -> Column:
     return F.when(F.size(part) == 0, 1.0).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))
 
 
-def merged(a: str, b: str, fraction: float = FRACTION) -> Column:
+def merged(a: str, b: str) -> Column:
     """The sketch of both texts' shingles together."""
-    union = F.sort_array(F.array_union(a, b))
-    low = F.filter(union, lambda x: x < F.lit(threshold(fraction)))
-    return F.when((F.size(low) > 0) | (F.size(union) == 0), low).otherwise(F.slice(union, 1, 1))
+    return F.sort_array(F.array_union(a, b))
 
 
 def with_next(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[DataFrame, Window]:
@@ -69,19 +70,17 @@ def with_next(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[Da
     Each shard also has the first document of the next shard, and the last shard that of the whole table, as rows with
     _copy true: drop them last. So no task sees more than a shard. Null doc_ids come first; equal ones go by text.
     """
-    bounds = shard_bounds(docs, "doc_id", rows_per_shard)
+    rows, _, last = range_shards(docs, "doc_id", rows_per_shard)
     first = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     is_first = F.col("doc_id").isNull() if first[1] else F.col("doc_id") == F.lit(first[0])
-    starts = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    shard = F.coalesce(F.size(F.filter(starts, lambda b: b <= F.col("doc_id"))), F.lit(0))
     copies = lambda at, late, copy: F.struct(at.alias("_shard"), F.lit(late).alias("_late"), F.lit(copy).alias("_copy"))
-    nothing = F.array().cast("array<struct<_shard:int,_late:int,_copy:boolean>>")
+    nothing = F.array().cast("array<struct<_shard:bigint,_late:int,_copy:boolean>>")
     places = F.concat(
-        F.array(copies(shard, 0, False)),
-        F.when(F.coalesce(F.array_contains(starts, F.col("doc_id")), F.lit(False)), F.array(copies(shard - 1, 0, True))).otherwise(nothing),
-        F.when(F.coalesce(is_first, F.lit(False)), F.array(copies(F.lit(len(bounds)), 1, True))).otherwise(nothing),
+        F.array(copies(F.col("_shard"), 0, False)),
+        F.when(F.col("_starts"), F.array(copies(F.col("_before"), 0, True))).otherwise(nothing),
+        F.when(F.coalesce(is_first, F.lit(False)), F.array(copies(F.lit(last).cast("bigint"), 1, True))).otherwise(nothing),
     )
-    dealt = docs.withColumn("_at", F.explode(places)).select(*docs.columns, "_at.*")
+    dealt = rows.withColumn("_at", F.explode(places)).select(*docs.columns, "_at.*")
     order = Window.partitionBy("_shard").orderBy("_late", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return dealt, order
 
@@ -100,7 +99,7 @@ def edited_report(docs: DataFrame, words: int = WORDS, fraction: float = FRACTIO
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("_next", F.lit(1), quarter))
     rows = rows.withColumn("_edited", edited).drop("_next")
     rows = with_sketch(with_sketch(rows, "text", "_own", words, fraction), "_edited", "_new", words, fraction)
-    rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256)).drop("_edited").withColumn("_after", F.lead("_own").over(order))
+    rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256)).drop("_edited").withColumn("_after", F.lead("_own").over(order)).withColumn("_after_least", F.lead("_own_least").over(order))
     return rows.where(~F.col("_copy")).select(
         "doc_id", "n_chars", "edited_sha256", as_text("_own").alias("fingerprint"), as_text("_new").alias("edited_fingerprint"),
         likeness("_own", "_new").alias("near_edited"), likeness("_own", "_after").alias("near_next"),

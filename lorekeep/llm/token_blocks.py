@@ -21,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import prepare, shard_bounds
+from .common import BROADCAST_STARTS, prepare, range_shards, written
 
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<4s5I")
-SEGMENT_SCHEMA = "shard int, segment int, shard_start long, n_docs int, n_tokens long, data binary"
+SEGMENT_SCHEMA = "shard long, segment int, shard_start long, n_docs int, n_tokens long, data binary"
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """
     spark = docs.sparkSession
     prepare(spark)
-    bounds = np.array(shard_bounds(docs, key), np.int64)
+    rows, shards, _ = range_shards(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
     width = bpe.id_type(tokenizer_path)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             total = int(counts.sum())
             row = [[at], [number], [before], [len(held)], [total], [data]]
             number, before, held, size = number + 1, before + total, [], 0
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
@@ -170,8 +170,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         if held:
             yield flush()
 
-    ids = bpe.encoded(docs, tokenizer_path, end_id, key, text, bounds).select("shard", F.col(key).alias("k"), "ids")
-    dealt = ids.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "k", "ids")
+    ids = bpe.encoded(rows, tokenizer_path, end_id, "k", "t", "_shard").select(F.col("_shard").alias("shard"), "k", "ids")
+    dealt = ids.repartition(shards, "shard").sortWithinPartitions("shard", "k", "ids")
     dealt.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -179,21 +179,23 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids as little-endian u32 binary, start the count of ids of all documents before."""
     prepare(spark)
     table = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    base, total = {}, 0
-    for s, n in sorted((r[0], r[1]) for r in table.groupBy("shard").agg(F.sum("n_tokens")).collect()):  # a row for each shard
-        base[s], total = total, total + n
+    sums = table.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard, which one task can add up
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(sums.select("shard", F.coalesce(before, F.lit(0)).alias("base")), "shard-bases")
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_STARTS else starts
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, before, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for base, data in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 segment = Segment(data)
                 ids = segment.ids().astype("<u4").tobytes()
                 counts = segment.counts.astype(np.int64)
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment.doc_ids, pa.int64()), pa.array(starts + before + base[s]), pa.array(counts), pa.array([ids[4 * i : 4 * j] for i, j in zip(starts, ends, strict=True)], pa.binary())],
+                    [pa.array(segment.doc_ids, pa.int64()), pa.array(starts + base), pa.array(counts), pa.array([ids[4 * i : 4 * j] for i, j in zip(starts, ends, strict=True)], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return table.select("shard", "shard_start", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    placed = table.select("shard", "shard_start", "data").join(starts, "shard").select((F.col("base") + F.col("shard_start")).alias("base"), "data")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -5,6 +5,12 @@ a stem share evidence. For each labelled text that names a group, a counterfactu
 another group; training adds WEIGHT times the mean squared difference of the two logits, so a mention of a group alone
 cannot move the score, while the words around it still can.
 
+Identity terms are a fixed list in a few languages, and mentions that are induced from the labelled sample, whatever its
+language: words that stand in at least MIN_DOCS texts of either label and mostly in clean ones, but in more of the toxic
+ones than chance explains. Both are features whatever their evidence, so that the model could weigh them and the penalty
+has to keep it from that. A mention is swapped for the word most like it by the texts they share (cosine) among those that
+stand on both sides as well and are no features.
+
 A word's weight is the sum of its features' weights, and a text's logit the sum over its distinct words and the bias, so
 a text is scored in one pass over its words however long it is. Fitting reads a bounded sample (about PER_LABEL labelled
 rows of each label, the documented parameter per_label); scoring reads every whole text.
@@ -48,6 +54,12 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
     ("muslime", "christen", "juden"), ("musulmans", "chrétiens", "juifs"), ("musulmanes", "cristianos", "judíos"),
 )
+#: At most so many induced mentions, those of most evidence, and so many words to swap them for, the most frequent.
+MENTIONS, EXCHANGES = 200, 500
+#: Least log-likelihood ratio of a mention; chance exceeds it once in a hundred words.
+MENTION_EVIDENCE = 6.6
+#: Texts of one label whose word sets are this much alike are copies, and teach once.
+COPY = 0.8
 _SWAP = {a: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, a in enumerate(row)}
 _WORD = re.compile(r"\w+")
 
@@ -60,14 +72,16 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
 
 
-def counterfactual(found: set[str]) -> set[str] | None:
-    return {_SWAP.get(w, w) for w in found} if found & _SWAP.keys() else None
+def counterfactual(found: set[str], swaps: dict[str, str] = _SWAP) -> set[str] | None:
+    return {swaps.get(w, w) for w in found} if found & swaps.keys() else None
 
 
 @dataclass
 class Model:
     bias: float
     weights: dict[str, float]
+    swaps: dict[str, str] = field(default_factory=dict)  # identity terms and induced mentions
+    pairs: int = 0  # labelled texts that have a counterfactual
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def of(self, word: str) -> float:
@@ -103,18 +117,52 @@ def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.n
     return np.array(at, np.int64), np.array(row, np.int64)
 
 
+def without_copies(texts: list[set[str]], labels: list[int]) -> list[int]:
+    """Places of the texts that are no copy of an earlier one of their label: candidates share the three least hashes of
+    their words under one of three orders, and are compared exactly."""
+    seen: dict[tuple, list[int]] = {}
+    out = []
+    for i, (s, label) in enumerate(zip(texts, labels, strict=True)):
+        hashes = [zlib.crc32(w.encode()) for w in s]
+        keys = [(label, k, *heapq.nsmallest(3, (h * odd & 0xFFFFFFFF for h in hashes))) for k, odd in enumerate((1, 0x9E3779B1, 0x85EBCA6B))]
+        near = {j for key in keys for j in seen.get(key, ())}
+        if any(len(s & texts[j]) >= COPY * len(s | texts[j]) for j in near):
+            continue
+        out.append(i)
+        for key in keys:
+            seen.setdefault(key, []).append(i)
+    return out
+
+
+def induced(texts: list[set[str]], pos: Counter, neg: Counter, known: set[str], n1: float, n0: float, min_docs: int) -> dict[str, str]:
+    """mention -> the word it is swapped for, where known are the features that have the evidence; see above."""
+    both = [w for w in pos if not w.endswith("-") and w not in _SWAP and pos[w] >= min_docs and neg[w] > max(min_docs - 1, pos[w])]
+    odd = {w: evidence(pos[w], neg[w], n1, n0) for w in both if pos[w] * n0 > neg[w] * n1}
+    mentions = sorted((w for w, e in odd.items() if e > MENTION_EVIDENCE), key=lambda w: (-odd[w], w))[:MENTIONS]
+    known = known | set(mentions)
+    plain = sorted((w for w in both if not any(f in known for f in features(w))), key=lambda w: (-pos[w] - neg[w], w))[:EXCHANGES]
+    if not mentions or not plain:
+        return {}
+    place = {w: i for i, w in enumerate([*mentions, *plain])}
+    held = np.zeros((len(texts), len(place)), np.float32)
+    for i, s in enumerate(texts):
+        for w in s & place.keys():
+            held[i, place[w]] = 1
+    size = np.sqrt(held.sum(0))
+    like = held[:, : len(mentions)].T @ held[:, len(mentions) :] / np.outer(size[: len(mentions)], size[len(mentions) :])
+    return {w: plain[int(like[i].argmax())] for i, w in enumerate(mentions)}
+
+
 def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_docs: int = MIN_DOCS, ridge: float = 2e-3, rounds: int = 300) -> Model:
-    """Copies teach once: of texts with the same label and the same three least word hashes, the first counts.
+    """Copies teach once.
 
     Adam on the mean logistic loss + ridge + weight x mean squared logit change under identity swaps.
 
     Features are kept if they occur in min_docs texts and their counts differ between labels beyond chance
     (log-likelihood ratio over EVIDENCE), so words without evidence have no weight at all. Identity terms are always kept.
     """
-    first: dict[tuple, int] = {}
-    for i, (s, label) in enumerate(zip(texts, labels, strict=True)):
-        first.setdefault((label, *heapq.nsmallest(3, (zlib.crc32(w.encode()) for w in s))), i)
-    texts, labels = [texts[i] for i in first.values()], [labels[i] for i in first.values()]
+    kept = without_copies(texts, labels)
+    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     y = np.array(labels, float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
@@ -132,10 +180,11 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
         a, b = pos[f], neg[f]
         if a + b >= min_docs and (f in _SWAP or evidence(a, b, n1, n0) > EVIDENCE):
             kept.append(f)
-    kept.sort()
+    swaps = _SWAP | induced(texts, pos, neg, set(kept), n1, n0, min_docs)
+    kept = sorted({*kept, *(w for w in swaps if w not in _SWAP)})
     index = {f: i for i, f in enumerate(kept)}
     at, row = _rows(texts, index)
-    pairs = [(s, c) for s in texts if (c := counterfactual(s))]
+    pairs = [(s, c) for s in texts if (c := counterfactual(s, swaps))]
     at_a, row_a = _rows([a for a, _ in pairs], index)
     at_b, row_b = _rows([b for _, b in pairs], index)
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
@@ -150,7 +199,7 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
             gradient[:-1] += np.bincount(at_a, change[row_a], len(kept)) - np.bincount(at_b, change[row_b], len(kept))
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Model(float(theta[-1]), dict(zip(kept, theta[:-1].tolist(), strict=True)))
+    return Model(float(theta[-1]), dict(zip(kept, theta[:-1].tolist(), strict=True)), swaps, len(pairs))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, weight: float = WEIGHT) -> Model:

@@ -33,6 +33,9 @@ from .common import prepare, shuffle_partitions, written
 
 BLOCK_WORDS = 1 << 19
 BLOCK_BYTES = 48 << 20
+#: Texts of about so many bytes share a bucket of distinct words, in each of which one task encodes.
+BUCKET_BYTES = 128 << 20
+SPLITS = "spark.sql.files.minPartitionNum"
 _PIECES: dict[str, pa.Array] = {}
 
 
@@ -81,42 +84,46 @@ def _is_scan(df: DataFrame) -> bool:
 
 
 def _blocks(rows: DataFrame, what: str, buckets: int, block_words: int, block_bytes: int) -> DataFrame:
-    """The documents or the word lists of each block; both passes number words alike, as a task's rows come in one order."""
+    """The documents or the word lists of each block; both passes number words alike, as a task's rows come in one order.
+
+    A block's lists and the last of its documents have a checksum of its texts, so that passes that were cut differently
+    end in an error and never in wrong ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, words, kept = TaskContext.get().partitionId() << 24, 0, _Numbers(buckets), []
+        block, size, words, kept, check = TaskContext.get().partitionId() << 24, 0, _Numbers(buckets), [], 0
 
-        def documents() -> pa.RecordBatch:
+        def documents(end: bool) -> pa.RecordBatch:
             keys = pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64())], names=["k"])
             data = _squeeze(_joined([keys.serialize().to_pybytes(), *(x for _, x in kept)]))
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary())], names=["block", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary()), pa.array([check if end else None], pa.int64())], names=["block", "data", "text_sum"])
 
         def lists() -> Iterator[pa.RecordBatch]:
             for k, found in enumerate(words.lists):
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([_squeeze(_joined(found))], pa.binary())], names=["block", "bucket", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([_squeeze(_joined(found))], pa.binary()), pa.array([check])], names=["block", "bucket", "words", "text_sum"])
 
         for b in batches:
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 numbers = np.array(list(map(words.__getitem__, (text or b"").split())), "<u4")
-                size += len(text or b"")
+                size, check = size + len(text or b""), zlib.crc32(text or b"", check)
                 if what == "documents":
                     kept.append((k, numbers.tobytes()))
                     if len(kept) >= 1024:
-                        yield documents()
+                        yield documents(False)
                 if len(words) >= block_words or size >= block_bytes:
                     if what == "words":
                         yield from lists()
-                    elif kept:
-                        yield documents()
-                    block, size, words = block + 1, 0, _Numbers(buckets)
+                    else:
+                        yield documents(True)
+                    block, size, words, check = block + 1, 0, _Numbers(buckets), 0
         if what == "words":
             yield from lists()
-        elif kept:
-            yield documents()
+        elif size or kept:
+            yield documents(True)
 
-    return rows.mapInArrow(run, "block long, data binary" if what == "documents" else "block long, bucket int, words binary")
+    return rows.mapInArrow(run, "block long, data binary, text_sum long" if what == "documents" else "block long, bucket int, words binary, text_sum long")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -132,7 +139,10 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
     if not _is_scan(docs):
         rows = written(rows, "documents")
-    buckets = shuffle_partitions(spark)
+    if spark.conf.get(SPLITS, None) is None:  # both passes cut files alike, however many executors live by then
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    buckets = min(1 << 16, max(shuffle_partitions(spark), size // BUCKET_BYTES))
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [_lists(_expand(x)) for x in table.column("words").to_pylist()]
@@ -143,9 +153,12 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
             found = enc.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             ids |= {w: np.array(x.ids, dtype).tobytes() for w, x in zip(part, found, strict=True)}
         out = [_squeeze(_joined([ids[w] for w in words])) for words in asked]
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary()), table.column("text_sum")], names=["block", "bucket", "ids", "text_sum"])
 
     def fill(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        sums = [{x for x in t.column("text_sum").to_pylist() if x is not None} for t in (documents, answers)]
+        if answers.num_rows and (sums[0] != sums[1] or len(sums[0]) != 1):
+            raise RuntimeError("the two passes over the documents saw different blocks; write the documents to a table first")
         ids, first = [], np.zeros(buckets, np.int64)
         for k, found in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             first[k] = len(ids)
@@ -163,7 +176,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         return pa.table([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["k", "ids"])
 
     lists = _blocks(rows, "words", buckets, block_words, block_bytes)
-    answers = lists.groupBy("bucket").applyInArrow(answer, "block long, bucket int, ids binary")
+    answers = lists.groupBy("bucket").applyInArrow(answer, "block long, bucket int, ids binary, text_sum long")
     documents = _blocks(rows, "documents", buckets, block_words, block_bytes)
     filled = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, "k long, ids array<int>")
     return filled.withColumnRenamed("k", key)

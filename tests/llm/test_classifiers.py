@@ -117,3 +117,76 @@ def test_every_label_is_sampled(spark):
     rows = [(i, "x", f"l{i:05d}") for i in range(1200)] + [(2000 + i, "x", "zz") for i in range(900)]
     got = {r.lang: r.n for r in langid.labelled_sample(frame(spark, rows), "lang", 300).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     assert len(got) == 1201 and 200 < got.pop("zz") < 400 and set(got.values()) == {1}
+
+
+def mentions(n=700, seed=5):
+    """A group word of no list stands in many toxic and more clean texts; a stem that only toxic texts have decides."""
+    r = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        toxic = r.random() < 0.25
+        words = [f"w{r.randint(0, 300)}" for _ in range(r.randint(8, 40))] + ["zorblings"] * (r.random() < (0.6 if toxic else 0.35)) + ["plain"] * (r.random() < 0.5)
+        if toxic and r.random() < 0.9:
+            words += [r.choice(["grimlocks", "grimlocking", "grimlocked"])]
+        rows.append(set(words))
+        labels.append(int(toxic))
+    return rows, labels
+
+
+def test_mentions_are_induced_and_lose_their_weight():
+    rows, labels = mentions()
+    plain, fair = toxicity.train(rows, labels, weight=0.0), toxicity.train(rows, labels, weight=20.0)
+    assert "zorblings" in fair.swaps and fair.pairs > 100 and "grimlocks" not in fair.swaps
+    assert plain.of("zorblings") > 0.2 and abs(fair.of("zorblings")) < 0.3 * plain.of("zorblings")
+    assert fair.score("the zorblings w1 w2") < plain.score("the zorblings w1 w2") and fair.score("w1 grimlocked") > 0.5
+
+
+def test_scores_and_loss_by_hand():
+    rows, labels = mentions(300)
+    model = toxicity.train(rows, labels)
+    text = "Grimlocking w1 zorblings, GRIMLOCKING w7"
+    z = model.bias + sum(model.weights.get(f, 0.0) for w in {"grimlocking", "w1", "zorblings", "w7"} for f in [w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) > k)])
+    assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+    kept = toxicity.without_copies(rows, labels)
+    n1 = sum(labels[i] for i in kept)
+
+    def loss(m):
+        out = 0.0
+        for i in kept:
+            p = min(max(m.score(" ".join(rows[i])), 1e-12), 1 - 1e-12)
+            out -= (np.log(p) * 0.5 / n1) if labels[i] else (np.log(1 - p) * 0.5 / (len(kept) - n1))
+        gaps = [sum(map(m.of, rows[i])) - sum(map(m.of, c)) for i in kept if (c := toxicity.counterfactual(rows[i], m.swaps))]
+        return out + toxicity.WEIGHT * (np.mean(np.square(gaps)) if gaps else 0) + 1e-3 * sum(w * w for w in m.weights.values()) / max(len(m.weights), 1)
+
+    best = loss(model)
+    for scale in (0.0, 0.5, 1.5):  # the fitted weights beat scaled ones and another bias
+        assert best < loss(toxicity.Model(model.bias, {f: w * scale for f, w in model.weights.items()}, model.swaps))
+    assert best < loss(toxicity.Model(model.bias + 1, model.weights, model.swaps)) and best < loss(toxicity.Model(model.bias - 1, model.weights, model.swaps))
+
+
+def test_copies_are_told_from_texts_of_common_words():
+    r = random.Random(1)
+    base = [{f"w{r.randint(0, 60)}" for _ in range(30)} for _ in range(200)]
+    copies = [s | {f"x{i}"} for i, s in enumerate(base[:50])]
+    kept = toxicity.without_copies([*base, *copies], [0] * 250)
+    assert sum(i >= 200 for i in kept) <= 5
+    for i in set(range(200)) - set(kept):
+        assert any(len(base[i] & base[j]) >= 0.8 * len(base[i] | base[j]) for j in kept if j < i)
+
+
+def test_unlearned_language_is_rejected_more_than_learned_ones(spark):
+    rows = corpus(400)
+    model = langid.fit(frame(spark, [x for x in rows if x[2] != "es"]))
+    other = [model.predict([t])[2][0] for _, t, lang in rows if lang == "es"]
+    own = [model.predict([t])[2][0] for _, t, lang in rows if lang != "es"]
+    assert np.mean(own) == 0 and np.mean(other) >= np.mean(own)
+
+
+def test_clashing_columns(spark):
+    model = langid.fit(frame(spark, corpus(60)))
+    df = docs(spark, ["the ing er"]).withColumn("a.b", F.lit(1)).withColumn("_text", F.lit("x")).withColumn("LANG_PRED", F.lit("z"))
+    got = langid.predict(df, model)
+    assert got.columns == [*df.columns[:-1], "lang_pred", "lang_score", "lang_rejected"] and got.first()["a.b"] == 1
+    scored = toxicity.score(df, toxicity.Model(0.0, {}))
+    assert scored.columns == [*df.columns, "toxicity"] and scored.first()["_text"] == "x"

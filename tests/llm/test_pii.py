@@ -70,16 +70,16 @@ def test_scores_match_brute_force(spark):
     found = pii.occurrences(pii.candidates(docs(spark, contact_texts())))
     patterns, values = pii.scored_patterns(found, support=1)
     rows = [tuple(x) for x in found.select("kind", "pattern", "value").distinct().collect() if x.pattern]
-    strong = {(k, p) for k, p, _ in rows if k != "token"}
-    edges = {(k, p, v): 1.0 for k, p, v in rows if k != "token"}
-    for k, p in strong:
-        for kind, q, v in rows:
-            if kind == "token" and q == p:
-                edges.setdefault((k, p, v), 0.0)
-    known = {}
-    for (k, _, v), s in edges.items():
-        known[k, v] = max(s, known.get((k, v), 0))
+    known = {(k, v): 1.0 for k, _, v in rows if k != "token"}
     for _ in range(pii.ROUNDS):
+        sure = {x for x, c in known.items() if c >= pii.CONFIDENCE}
+        strong = {(k, p) for k, p, _ in rows if k != "token"} | {(k, p) for kind, p, v in rows if kind == "token" for k, w in sure if w == v}
+        edges = {(k, p, v): 1.0 for k, p, v in rows if k != "token"}
+        for k, p in strong:
+            for kind, q, v in rows:
+                if kind == "token" and q == p:
+                    edges.setdefault((k, p, v), 0.0)
+        known = {(k, v): max(s, known.get((k, v), 0)) for (k, _, v), s in edges.items()}
         score = {(k, p): (lambda vs: sum(vs) / len(vs))([known[k, v] for a, b, v in edges if (a, b) == (k, p)]) for k, p in strong}
         nxt = {}
         for k, v in known:
@@ -122,3 +122,31 @@ def test_contexts_behind_other_identifiers(spark):
     rows = [f"build 7 contact: user{i}@mail.example.com" for i in range(8)] + ["id 7 contact: handle4711", "a1 7 contact: name99"]
     found = {x.doc_id: [(s["kind"], rows[x.doc_id][s["start"] : s["end"]]) for s in x.spans] for x in pii.report(docs(spark, rows)).collect()}
     assert found[8] == [("context", "handle4711")] and found[9] == [("context", "name99")]
+
+
+def test_found_identifiers_induce_patterns(spark):
+    """Seeds induce `reach me at`; what it finds induces `badge number is`, which no seed stands after."""
+    rows = [f"please reach me at user{i}@mail.example.com now" for i in range(9)]
+    rows += [f"please reach me at staff{i}x today and badge number is staff{i}x there" for i in range(4)] + ["the badge number is unseen77 there", "chapter number two 77"]
+    found = {x.doc_id: [(s["kind"], rows[x.doc_id][s["start"] : s["end"]]) for s in x.spans] for x in pii.report(docs(spark, rows)).collect()}
+    assert found[9] == [("context", "staff0x"), ("context", "staff0x")] and found[13] == [("context", "unseen77")] and not found[14]
+
+
+def test_secrets_and_what_stands_where_they_do(spark):
+    """Of planted secrets of no known shape all are found, and no other token, after `token =`."""
+    r = random.Random(3)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [f'words {i} before token = "{secret()}" after' for i in range(30)]
+    unseen = [f'words {i} before token = "zz-{i}-{r.randint(10**5, 10**6)}q" after' for i in range(10)]
+    clean = [f"chapter {i} of the book has {i} pages and version {i}.2" for i in range(40)]
+    rows += [*unseen, *clean, "0" * 40, "deadbeef" * 3]
+    found = {x.doc_id: [(s["kind"], rows[x.doc_id][s["start"] : s["end"]]) for s in x.spans] for x in pii.report(docs(spark, rows)).collect()}
+    assert all(found[i] == [("secret", re.search('"(.*)"', rows[i])[1])] or found[i][-1][0] == "secret" for i in range(30))
+    assert all(found[i] == [("context", re.search('"(.*)"', rows[i])[1])] for i in range(30, 40))
+    assert not any(found[i] for i in range(40, len(rows)))
+
+
+def test_clashing_columns(spark):
+    df = docs(spark, ["mail me@x.yz now", "plain"]).withColumn("_th", F.lit("x")).withColumn("_new", F.lit("y")).withColumn("a.b", F.lit(1))
+    got = pii.redacted(df)
+    assert got.columns == df.columns and sorted((r["text"], r["_th"], r["_new"], r["a.b"]) for r in got.collect()) == [("mail <email> now", "x", "y", 1), ("plain", "x", "y", 1)]

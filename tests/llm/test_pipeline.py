@@ -60,7 +60,7 @@ def test_stages(spark, folder):
     assert out.columns == COLUMNS and out.count() == docs.count()
     for r in out.join(docs.select("doc_id", F.col("text").alias("was")).distinct(), "doc_id").collect():
         if r.text != r.was:
-            assert not brute(r.text) and r.n_chars == len(r.text) and re.search("<(email|ip|card|phone|context)>", r.text)
+            assert not brute(r.text) and r.n_chars == len(r.text) and re.search("<(email|ip|card|phone|secret|context)>", r.text)
         else:
             assert not brute(r.was or "")
 
