@@ -141,7 +141,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         rows = written(rows, "documents")
     if spark.conf.get(SPLITS, None) is None:  # both passes cut files alike, however many executors live by then
         spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = min(1 << 16, max(shuffle_partitions(spark), size // BUCKET_BYTES))
 
     def answer(table: pa.Table) -> pa.Table:
