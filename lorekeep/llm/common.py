@@ -119,6 +119,11 @@ def range_shards(docs: DataFrame, key: str, rows_per_shard: int = 8192) -> tuple
     return rows.select(*[quoted(c) for c in docs.columns], "_shard", "_starts", "_before"), (total or 0) + 1, last or 0
 
 
+def shard_partitions(shards: int) -> int:
+    """Tasks for so many shards: one each up to 4096 tasks, eight each beyond, so tasks stay alike as the table grows."""
+    return max(1, min(shards, 4096), -(-shards // 8))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_shards
+from .common import range_shards, shard_partitions
 
 WORDS = 5
 FRACTION = 1 / 8
@@ -70,7 +70,7 @@ def with_next(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[Da
     Each shard also has the first document of the next shard, and the last shard that of the whole table, as rows with
     _copy true: drop them last. So no task sees more than a shard. Null doc_ids come first; equal ones go by text.
     """
-    rows, _, last = range_shards(docs, "doc_id", rows_per_shard)
+    rows, shards, last = range_shards(docs, "doc_id", rows_per_shard)
     first = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     is_first = F.col("doc_id").isNull() if first[1] else F.col("doc_id") == F.lit(first[0])
     copies = lambda at, late, copy: F.struct(at.alias("_shard"), F.lit(late).alias("_late"), F.lit(copy).alias("_copy"))
@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[Da
         F.when(F.col("_starts"), F.array(copies(F.col("_before"), 0, True))).otherwise(nothing),
         F.when(F.coalesce(is_first, F.lit(False)), F.array(copies(F.lit(last).cast("bigint"), 1, True))).otherwise(nothing),
     )
-    dealt = rows.withColumn("_at", F.explode(places)).select(*docs.columns, "_at.*")
+    dealt = rows.withColumn("_at", F.explode(places)).select(*docs.columns, "_at.*").repartition(shard_partitions(shards), "_shard")
     order = Window.partitionBy("_shard").orderBy("_late", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return dealt, order
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_STARTS, prepare, range_shards, written
+from .common import BROADCAST_STARTS, prepare, range_shards, shard_partitions, written
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             yield flush()
 
     ids = bpe.encoded(rows, tokenizer_path, end_id, "k", "t", "_shard").select(F.col("_shard").alias("shard"), "k", "ids")
-    dealt = ids.repartition(shards, "shard").sortWithinPartitions("shard", "k", "ids")
+    dealt = ids.repartition(shard_partitions(shards), "shard").sortWithinPartitions("shard", "k", "ids")
     dealt.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
