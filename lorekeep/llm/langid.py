@@ -122,13 +122,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIM
     found = sorted(tuple(r) for r in rows.mapInArrow(featurize, "lang string, at binary, n binary").collect())  # bounded by per_language
     languages = sorted({r[0] for r in found})
     x = np.zeros((len(found), dimensions), np.float32)
-    for i, (_, at, n) in enumerate(found):
+    of = np.array([languages.index(r[0]) for r in found], int)
+    for i in range(len(found)):
+        _, at, n = found[i]
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    idf = (np.log((1 + len(found)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+        found[i] = None
+    idf = (np.log((1 + len(found)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     np.log1p(x, out=x)
     x *= idf
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
-    of, parts, owner, limit = np.array([languages.index(r[0]) for r in found], int), [], [], []
+    parts, owner, limit = [], [], []
     for k in range(len(languages)):
         own = x[of == k]
         c = k_means(own, centroids)

@@ -37,7 +37,7 @@ from .langid import _with, labelled_sample
 PER_LABEL = 2500
 WEIGHT = 1.0
 MIN_DOCS = 5
-HASH_BITS = 22
+HASH_BITS = 20
 #: Least log-likelihood ratio of a feature's counts by label; chance exceeds it once in two million features.
 EVIDENCE = 25.0
 #: Identity terms by kind; a counterfactual swaps a term for the next one of its row.
@@ -72,8 +72,16 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
 
 
+def swapped(found: set[str], swaps: dict[str, str]) -> tuple[set[str], set[str]]:
+    """The words that only the text has, and those that only its counterfactual has."""
+    gone = found & swaps.keys()
+    new = {swaps[w] for w in gone}
+    return gone - new, new - found
+
+
 def counterfactual(found: set[str], swaps: dict[str, str] = _SWAP) -> set[str] | None:
-    return {swaps.get(w, w) for w in found} if found & swaps.keys() else None
+    gone, new = swapped(found, swaps)
+    return (found - gone) | new if gone or new else None
 
 
 @dataclass
@@ -171,7 +179,8 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
     rough = np.zeros((2, 1 << HASH_BITS), np.int32)
     for s, label in zip(texts, labels, strict=True):
         rough[label][list({_bucket(f) for w in s for f in features(w)})] += 1
-    likely = rough.sum(0) >= min_docs
+    likely = rough[0] + rough[1] >= min_docs
+    del rough
     pos, neg = Counter(), Counter()
     for s, label in zip(texts, labels, strict=True):
         (pos if label else neg).update({f for w in s for f in features(w) if likely[_bucket(f)]})
@@ -184,7 +193,7 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
     kept = sorted({*kept, *(w for w in swaps if w not in _SWAP)})
     index = {f: i for i, f in enumerate(kept)}
     at, row = _rows(texts, index)
-    pairs = [(s, c) for s in texts if (c := counterfactual(s, swaps))]
+    pairs = [p for s in texts if any(p := swapped(s, swaps))]  # words that both sides have change nothing
     at_a, row_a = _rows([a for a, _ in pairs], index)
     at_b, row_b = _rows([b for _, b in pairs], index)
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
@@ -215,8 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, weight:
     chosen = labelled_sample(known, "toxic", per_label)
     few = F.broadcast(chosen.select("doc_id", "toxic"))  # about per_label rows of each label, however large the table
     rows = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text")
-    found = sorted(tuple(r) for r in rows.mapInArrow(sets, "toxic int, words string").collect())  # bounded by per_label
-    return train([set(w.split()) for _, w in found], [int(t == 1) for t, _ in found], weight)
+    found = sorted((tuple(r) for r in rows.mapInArrow(sets, "toxic int, words string").collect()), reverse=True)  # bounded by per_label
+    same, texts, toxic = {}, [], []
+    while found:  # one string object for each distinct word, and no text twice
+        label, text = found.pop()
+        texts.append({same.setdefault(w, w) for w in text.split()})
+        toxic.append(int(label == 1))
+    return train(texts, toxic, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
