@@ -18,12 +18,11 @@ rows of each label, the documented parameter per_label); scoring reads every who
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,34 +114,51 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) >> (32 - HASH_BITS)
 
 
+def coded(texts: Iterable[Iterable[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of all texts, and each text's as rising numbers among them: 4 bytes for a word of a text."""
+    number: dict[str, int] = {}
+    own = [np.unique(np.array([number.setdefault(w, len(number)) for w in sorted(t)], np.int32)) for t in texts]
+    return list(number), own
+
+
 def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature number and row number of each feature of each text, once a text for each word that has it."""
     at, row = [], []
     for i, s in enumerate(sets):
-        hit = [index[f] for w in s for f in features(w) if f in index]
+        hit = [index[f] for w in sorted(s) for f in features(w) if f in index]
         at += hit
         row += [i] * len(hit)
     return np.array(at, np.int64), np.array(row, np.int64)
 
 
-def without_copies(texts: list[set[str]], labels: list[int]) -> list[int]:
+def without_copies(texts: Iterable[Iterable[str]], labels: list[int]) -> list[int]:
     """Places of the texts that are no copy of an earlier one of their label: candidates share the three least hashes of
     their words under one of three orders, and are compared exactly."""
+    return _without_copies(*coded(texts), labels)
+
+
+def _without_copies(vocabulary: list[str], own: list[np.ndarray], labels: list[int]) -> list[int]:
+    crc = np.fromiter((zlib.crc32(w.encode()) for w in vocabulary), np.uint64, len(vocabulary))
+    orders = [crc * np.uint64(odd) & np.uint64(0xFFFFFFFF) for odd in (1, 0x9E3779B1, 0x85EBCA6B)]
     seen: dict[tuple, list[int]] = {}
     out = []
-    for i, (s, label) in enumerate(zip(texts, labels, strict=True)):
-        hashes = [zlib.crc32(w.encode()) for w in s]
-        keys = [(label, k, *heapq.nsmallest(3, (h * odd & 0xFFFFFFFF for h in hashes))) for k, odd in enumerate((1, 0x9E3779B1, 0x85EBCA6B))]
-        near = {j for key in keys for j in seen.get(key, ())}
-        if any(len(s & texts[j]) >= COPY * len(s | texts[j]) for j in near):
-            continue
-        out.append(i)
-        for key in keys:
-            seen.setdefault(key, []).append(i)
+    for i, (s, label) in enumerate(zip(own, labels, strict=True)):
+        keys = []
+        for k, order in enumerate(orders):
+            h = order[s]
+            keys.append((label, k, *np.sort(np.partition(h, 2)[:3] if len(h) > 3 else h).tolist()))
+        for j in {j for key in keys for j in seen.get(key, ())}:
+            both = len(np.intersect1d(s, own[j], assume_unique=True))
+            if both >= COPY * (len(s) + len(own[j]) - both):
+                break
+        else:
+            out.append(i)
+            for key in keys:
+                seen.setdefault(key, []).append(i)
     return out
 
 
-def induced(texts: list[set[str]], pos: Counter, neg: Counter, known: set[str], n1: float, n0: float, min_docs: int) -> dict[str, str]:
+def induced(vocabulary: list[str], own: list[np.ndarray], pos: Counter, neg: Counter, known: set[str], n1: float, n0: float, min_docs: int) -> dict[str, str]:
     """mention -> the word it is swapped for, where known are the features that have the evidence; see above."""
     both = [w for w in pos if not w.endswith("-") and w not in _SWAP and pos[w] >= min_docs and neg[w] > max(min_docs - 1, pos[w])]
     odd = {w: evidence(pos[w], neg[w], n1, n0) for w in both if pos[w] * n0 > neg[w] * n1}
@@ -152,16 +168,45 @@ def induced(texts: list[set[str]], pos: Counter, neg: Counter, known: set[str],
     if not mentions or not plain:
         return {}
     place = {w: i for i, w in enumerate([*mentions, *plain])}
-    held = np.zeros((len(texts), len(place)), np.float32)
-    for i, s in enumerate(texts):
-        for w in s & place.keys():
-            held[i, place[w]] = 1
+    column = np.fromiter((place.get(w, -1) for w in vocabulary), np.int32, len(vocabulary))
+    held = np.zeros((len(own), len(place)), np.float32)
+    for i, s in enumerate(own):
+        hit = column[s]
+        held[i, hit[hit >= 0]] = 1
     size = np.sqrt(held.sum(0))
     like = held[:, : len(mentions)].T @ held[:, len(mentions) :] / np.outer(size[: len(mentions)], size[len(mentions) :])
     return {w: plain[int(like[i].argmax())] for i, w in enumerate(mentions)}
 
 
-def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_docs: int = MIN_DOCS, ridge: float = 2e-3, rounds: int = 300) -> Model:
+def _counted(vocabulary: list[str], own: list[np.ndarray], labels: list[int], min_docs: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(features, number of each word's features or -1, texts of label 0 and of label 1 that have each feature) for the
+    features that stand in min_docs texts, and some others."""
+    # A first count by hash, in fixed memory, says which features can be that frequent; only those are counted by name.
+    none = 1 << HASH_BITS
+    bucket = np.full((len(vocabulary), 4), none, np.int32)
+    for i, w in enumerate(vocabulary):
+        found = [_bucket(f) for f in features(w)]
+        bucket[i, : len(found)] = found
+    rough = np.zeros(none + 1, np.int32)
+    for s in own:
+        rough[np.unique(bucket[s])] += 1
+    likely = rough >= min_docs
+    likely[none] = False
+    likely = likely[bucket]
+    del bucket, rough
+    number: dict[str, int] = {}
+    ids = np.full((len(vocabulary), 4), -1, np.int32)
+    for i in np.nonzero(likely.any(1))[0]:
+        for j, f in enumerate(features(vocabulary[i])):
+            if likely[i, j]:
+                ids[i, j] = number.setdefault(f, len(number))
+    counts = np.zeros((2, len(number) + 1), np.int32)  # the last one has what is no feature
+    for s, label in zip(own, labels, strict=True):
+        counts[label, np.unique(ids[s])] += 1
+    return list(number), ids, counts[:, :-1]
+
+
+def train(texts: Iterable[Iterable[str]], labels: list[int], weight: float = WEIGHT, min_docs: int = MIN_DOCS, ridge: float = 2e-3, rounds: int = 300) -> Model:
     """Copies teach once.
 
     Adam on the mean logistic loss + ridge + weight x mean squared logit change under identity swaps.
@@ -169,31 +214,25 @@ def train(texts: list[set[str]], labels: list[int], weight: float = WEIGHT, min_
     Features are kept if they occur in min_docs texts and their counts differ between labels beyond chance
     (log-likelihood ratio over EVIDENCE), so words without evidence have no weight at all. Identity terms are always kept.
     """
-    kept = without_copies(texts, labels)
-    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
+    vocabulary, own = coded(texts)
+    kept = _without_copies(vocabulary, own, labels)
+    own, labels = [own[i] for i in kept], [labels[i] for i in kept]
     y = np.array(labels, float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model(8.0 if n1 and not n0 else -8.0, {})
-    # A first count by hash, in fixed memory, says which features can have the evidence; only those are counted by name.
-    rough = np.zeros((2, 1 << HASH_BITS), np.int32)
-    for s, label in zip(texts, labels, strict=True):
-        rough[label][list({_bucket(f) for w in s for f in features(w)})] += 1
-    likely = rough[0] + rough[1] >= min_docs
-    del rough
-    pos, neg = Counter(), Counter()
-    for s, label in zip(texts, labels, strict=True):
-        (pos if label else neg).update({f for w in s for f in features(w) if likely[_bucket(f)]})
-    kept = []
-    for f in pos.keys() | neg.keys():
-        a, b = pos[f], neg[f]
-        if a + b >= min_docs and (f in _SWAP or evidence(a, b, n1, n0) > EVIDENCE):
-            kept.append(f)
-    swaps = _SWAP | induced(texts, pos, neg, set(kept), n1, n0, min_docs)
+    names, ids, counts = _counted(vocabulary, own, labels, min_docs)
+    neg, pos = (Counter(dict(zip(names, c.tolist(), strict=True))) for c in counts)
+    kept = [f for f in names if pos[f] + neg[f] >= min_docs and (f in _SWAP or evidence(pos[f], neg[f], n1, n0) > EVIDENCE)]
+    swaps = _SWAP | induced(vocabulary, own, pos, neg, set(kept), n1, n0, min_docs)
     kept = sorted({*kept, *(w for w in swaps if w not in _SWAP)})
     index = {f: i for i, f in enumerate(kept)}
-    at, row = _rows(texts, index)
-    pairs = [p for s in texts if any(p := swapped(s, swaps))]  # words that both sides have change nothing
+    kept_ids = np.array([*(index.get(f, -1) for f in names), -1])[ids]
+    hits = [(x := kept_ids[s].ravel())[x >= 0] for s in own]
+    at, row = np.concatenate(hits), np.repeat(np.arange(len(own)), [len(x) for x in hits])
+    named = np.fromiter((w in swaps for w in vocabulary), bool, len(vocabulary))
+    changed = ({vocabulary[i] for i in s.tolist()} for s in own if named[s].any())
+    pairs = [p for s in changed if any(p := swapped(s, swaps))]  # words that both sides have change nothing
     at_a, row_a = _rows([a for a, _ in pairs], index)
     at_b, row_b = _rows([b for _, b in pairs], index)
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
@@ -224,13 +263,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, weight:
     chosen = labelled_sample(known, "toxic", per_label)
     few = F.broadcast(chosen.select("doc_id", "toxic"))  # about per_label rows of each label, however large the table
     rows = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text")
-    found = sorted((tuple(r) for r in rows.mapInArrow(sets, "toxic int, words string").collect()), reverse=True)  # bounded by per_label
-    same, texts, toxic = {}, [], []
-    while found:  # one string object for each distinct word, and no text twice
-        label, text = found.pop()
-        texts.append({same.setdefault(w, w) for w in text.split()})
-        toxic.append(int(label == 1))
-    return train(texts, toxic, weight)
+    found = sorted(tuple(r) for r in rows.mapInArrow(sets, "toxic int, words string").collect())  # bounded by per_label
+    toxic = [int(label == 1) for label, _ in found]
+
+    def texts() -> Iterator[list[str]]:
+        for i, (_, text) in enumerate(found):
+            found[i] = None  # no text is held twice
+            yield text.split()
+
+    return train(texts(), toxic, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
