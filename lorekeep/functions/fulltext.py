@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.stemming import stem
+from lorekeep.functions.workers import reachable
 
 # English stopwords.
 STOP = (
@@ -41,6 +42,7 @@ stems = _stems.asNondeterministic()
 
 def analysed(text: Column) -> Column:
     """Stems in order, with '' where a stopword stands, so that phrases keep their distances."""
+    reachable()
     stop = F.array(*[F.lit(w) for w in STOP])
     return stems(F.transform(words(F.coalesce(text, F.lit(""))), lambda t: F.when(F.array_contains(stop, t), F.lit("")).otherwise(t)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
+from lorekeep.functions.workers import reachable
 from lorekeep.plans import schema
 
 BASE_CONFIDENCE = 0.6
@@ -111,6 +112,8 @@ def segments(docs: DataFrame, text: str = "text", limit: int = MAX_SEGMENT_BYTES
     """
     from lorekeep.functions.segmenting import segment_text
 
+    reachable()
+
     @F.pandas_udf("array<struct<heading:string,content:string>>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"heading": h, "content": c} for h, c in segment_text(t or "", limit)])
@@ -214,6 +217,8 @@ def extraction_pass(state: dict[str, DataFrame], now, processed: DataFrame | Non
 def embed_pending(rows: DataFrame, text: str, embedder: Callable, size: int) -> DataFrame:
     """EXT-18, ENT-12, SRC-24: rows whose embedding is null get one; embedder takes a list of texts and must answer each
     with a vector of the size, else the batch fails."""
+    reachable()
+
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         found = embedder(texts.tolist())

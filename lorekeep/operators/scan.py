@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
+from lorekeep.functions.workers import reachable
 from lorekeep.plans import schema
 from lorekeep.plans.store import appended
 
@@ -57,6 +58,7 @@ def nearest_pairs(units: DataFrame, probes: DataFrame, k: int = NEAREST, max_dis
     precision. A pair of blocks gives each probe its k best there and no more, so what is shuffled afterwards is k rows a
     probe and block. Vectors of unequal size do not meet; null and zero vectors meet nothing.
     """
+    reachable()
     kind = units.schema["id"].dataType.simpleString()
 
     def blocks(df: DataFrame, n: int, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
+from lorekeep.functions.workers import reachable
 from lorekeep.operators.extract import segments
 from lorekeep.plans import schema
 
@@ -40,6 +41,8 @@ def parse_ocr_tsv(lines: DataFrame) -> DataFrame:
 
 def _applied(rows: DataFrame, fn: Callable[[bytes], dict], out: str) -> DataFrame:
     """rows with column r, a struct of the type given; a failing call leaves only r.error."""
+    reachable()
+
     @F.pandas_udf(out)
     def run(contents: pd.Series) -> pd.DataFrame:
         made = []

@@ -1,4 +1,7 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from lorekeep.functions import fulltext as S
@@ -138,3 +141,21 @@ def test_search_grammar(spark, query, hits):
 def test_web_search(spark, query, hits):
     rows = spark.createDataFrame([(1, "Postgres has a fast index"), (2, "We use Postgres daily"), (3, "The duck is slow")], "id int, t string")
     assert {r.id for r in rows.withColumn("d", S.analysed(F.col("t"))).where(S.matches(F.col("d"), query)).collect()} == hits
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session that was started elsewhere, with no PYTHONPATH, still runs what is a Python program over words."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from lorekeep.functions import fulltext
+from lorekeep.operators import extract
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([("# Top\\nrunning dogs",)], "text string")
+print(docs.select(fulltext.analysed(F.col("text")).alias("a")).first().a, extract.segments(docs).first().content)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "['top', 'run', 'dog'] running dogs" in out.stdout, out.stderr[-2000:]
