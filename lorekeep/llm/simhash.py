@@ -330,7 +330,8 @@ def alike(docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, b
     lowered = F.translate("text", UPPER, LOWER)  # the words of fingerprint_of()
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), lowered.alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["th"])
     sets = written(with_sketch(texts.select("th", "root", "t"), "t", "s", shingle, 1.0).select("th", "root", "s"), "shingle-sets")
-    blocks = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.size("s")) / (block * 1024))).cast("int").alias("k"))
+    blocks = written(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.size("s")) / (block * 1024))).cast("int").alias("k")), "root-blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_KEYS else blocks
     own = F.pmod(F.xxhash64(F.lit("block"), "th"), F.greatest("k", F.lit(1))).cast("int")
     other = F.when(F.col("k") > 1, F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("own"))).otherwise(F.array("own"))
     met = sets.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(other))
@@ -341,7 +342,8 @@ def alike(docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, b
         found = verified_links(pc.list_value_length(s).to_numpy(), pc.list_flatten(s).to_numpy(), similarity)
         return pa.table([pa.array([int(th[e[i]]) for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return met.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
+    # Dealt anew: rows that a join has dealt by root would stay so, and all blocks of a root would meet in one task.
+    return met.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = 42, within: int = 6, parts: int = 4, similarity: float = 0.8) -> DataFrame:

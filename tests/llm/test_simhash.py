@@ -170,3 +170,17 @@ def test_clashing_columns(spark):
     table = docs(spark, ["a b c d e f", "a b c d e f", "else"]).withColumn("_th", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("Root", F.lit(2))
     got = simhash.deduplicated(table)
     assert got.columns == table.columns and sorted((r["doc_id"], r["_th"], r["a.b"], r["Root"]) for r in got.collect()) == [(0, "x", 1, 2), (2, "x", 1, 2)]
+
+
+def test_blocks_of_one_root_meet_in_several_tasks(spark):
+    """However the sizes of roots are joined, the pairs of blocks are dealt by (root, i, j) and not by root alone."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40)) + f" end{i}") for i in range(12)], "doc_id long, text string")
+    firsts = docs.select(F.xxhash64("text").alias("th"), F.lit(7).cast("long").alias("root"), "doc_id")
+    for bound in (simhash.BROADCAST_KEYS, -1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "BROADCAST_KEYS", bound)
+            edges = simhash.alike(docs, firsts, 5, 0.8, block=3)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(root" in plan and any(", i#" in line and ", j#" in line for line in plan.split("\n") if "hashpartitioning(root" in line)
+        assert connected_components(edges).select("root").distinct().count() == 1
+        assert connected_components(edges).count() == 12
