@@ -40,11 +40,12 @@ def _stems(tokens: pd.Series) -> pd.Series:
 stems = _stems.asNondeterministic()
 
 
-def analysed(text: Column) -> Column:
-    """Stems in order, with '' where a stopword stands, so that phrases keep their distances."""
+def analysed(text: Column, stemmed: bool = True) -> Column:
+    """Stems (or words as they stand) in order, with '' where a stopword stands, so that phrases keep their distances."""
     reachable()
     stop = F.array(*[F.lit(w) for w in STOP])
-    return stems(F.transform(words(F.coalesce(text, F.lit(""))), lambda t: F.when(F.array_contains(stop, t), F.lit("")).otherwise(t)))
+    kept = F.transform(words(F.coalesce(text, F.lit(""))), lambda t: F.when(F.array_contains(stop, t), F.lit("")).otherwise(t))
+    return stems(kept) if stemmed else kept
 
 
 @dataclass(frozen=True)

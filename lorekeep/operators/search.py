@@ -26,9 +26,12 @@ def vector_top_k(rows: DataFrame, query: Sequence[float], k: int, vector: str =
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
-def indexed(rows: DataFrame, text: str = "content") -> DataFrame:
-    """rows as a stored table with analysed, the stems of the text: what a generated column of a search engine holds."""
-    return checkpointed(rows.withColumn(ANALYSED, S.analysed(F.col(text))))
+def indexed(rows: DataFrame, text: str = "content", stemmed: bool = True) -> DataFrame:
+    """rows as a stored table with analysed, the stems of the text: what a generated column of a search engine holds.
+
+    Without stemmed, its words as they stand, for texts that are not English: a query's stems then match those words only.
+    """
+    return checkpointed(rows.withColumn(ANALYSED, S.analysed(F.col(text), stemmed)))
 
 
 def text_hits(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
