@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +16,8 @@ from lorekeep.plans import schema
 BASE_CONFIDENCE = 0.6
 MIN_BYTES, MAX_BYTES = 10, 400
 MAX_SEGMENT_BYTES = 2000
+#: Texts whose segments a Python worker holds at once.
+SLICE = 128
 # The sentence rules, in the order they are tried. Classes are Unicode's; a dot is anything but a line feed.
 RULES = {
     "decision": r"(?iUd)\b(?:I|we)(?:'ve| have)?\s+(?:decided(?:\s+on|\s+to\s+(?:use|go\s+with))?|chose|picked|switched\s+to|will\s+use|agreed\s+(?:on|to\s+use)|(?:am|are)\s+going\s+with)\s+(.{2,80}?)[\s.]*\z",
@@ -108,15 +110,18 @@ def segments(docs: DataFrame, text: str = "text", limit: int = MAX_SEGMENT_BYTES
 
     Markdown headings part sections and are dropped; a section over the limit is packed by paragraphs, and a paragraph
     over it is cut between characters. The fold over a text's paragraphs depends on its own output, so it is one Arrow
-    pass; nothing is shuffled.
+    pass; nothing is shuffled. A worker gives back the segments of SLICE texts at a time, so it holds no more than those
+    beside the batch it was sent.
     """
     from lorekeep.functions.segmenting import segment_text
 
     reachable()
 
     @F.pandas_udf("array<struct<heading:string,content:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"heading": h, "content": c} for h, c in segment_text(t or "", limit)])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at in range(0, len(texts), SLICE):
+                yield texts.iloc[at : at + SLICE].map(lambda t: [{"heading": h, "content": c} for h, c in segment_text(t or "", limit)])
 
     return docs.select("*", F.posexplode(cut(text)).alias("seq", "_s")).select(*docs.columns, "seq", "_s.heading", "_s.content")
 

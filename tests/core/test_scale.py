@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import scan, search
+from lorekeep.operators import extract, scan, search
 from lorekeep.plans import schema
 from lorekeep.sources import bundle
 
@@ -59,3 +59,10 @@ def test_words_as_they_stand(spark):
     rows = spark.createDataFrame([(1, "hier und da"), (2, "hier unds da")], "id int, content string")
     assert [r.id for r in search.text_hits(search.indexed(rows, stemmed=False), "und").collect()] == [1]
     assert [r.id for r in search.text_hits(search.indexed(rows), "und").orderBy("id").collect()] == [1, 2]
+
+
+def test_segments_come_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extract, "SLICE", 2)
+    rows = spark.createDataFrame([(i, f"text {i}\n# Head\nmore" if i % 3 else None) for i in range(11)], "id int, text string").coalesce(1)
+    got = {(r.id, r.seq): (r.heading, r.content) for r in extract.segments(rows).collect()}
+    assert got == {(i, s): v for i in range(11) if i % 3 for s, v in enumerate([(None, f"text {i}"), ("Head", "more")])}
