@@ -1,9 +1,13 @@
 """Steps whose cost must grow with the input: what their plans hold, and that they still do the whole job."""
 
 import datetime as dt
+import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as X
+from lorekeep.operators import entities as E
 from lorekeep.operators import extract, scan, search
 from lorekeep.plans import schema
 from lorekeep.sources import bundle
@@ -66,3 +70,25 @@ def test_segments_come_in_slices(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(i, f"text {i}\n# Head\nmore" if i % 3 else None) for i in range(11)], "id int, text string").coalesce(1)
     got = {(r.id, r.seq): (r.heading, r.content) for r in extract.segments(rows).collect()}
     assert got == {(i, s): v for i in range(11) if i % 3 for s, v in enumerate([(None, f"text {i}"), ("Head", "more")])}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_names_of_shared_trigrams_are_ruled_out_where_they_meet(spark, monkeypatch, threshold):
+    hexes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(150)]
+    names = [*hexes, *[h[:60] + "0" * 4 for h in hexes[:20]], *[h[:45] for h in hexes[20:40]], "new york", "new york city", "york new"]
+    rows = spark.createDataFrame([(f"{i:03}", n, "other") for i, n in enumerate(names)], "id string, name string, kind string")
+    met, sharing = [], E._sharing
+    monkeypatch.setattr(E, "_sharing", lambda *a: met.append(sharing(*a)) or met[-1])
+    got = {tuple(r) for r in E.name_pairs(rows, threshold).collect()}
+    a, b = rows.select(F.col("id").alias("a"), F.col("name").alias("m")), rows.select(F.col("id").alias("b"), F.col("name").alias("n"))
+    every = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(X.name_similarity(F.col("m"), F.col("n")), 6).alias("score"))
+    assert got == {tuple(r) for r in every.where(F.col("score") >= threshold).collect()} and len(got) > 10
+    assert sum(df.distinct().count() for df in met) < 2 * len(names)  # thousands of pairs share a rare trigram
+
+
+def test_dismissed_pairs_are_left_out_however_many(spark):
+    rows = [(f"{i}", f"Postgres {'x' * 9}{i}", "tool") for i in range(6)]
+    gone = [(a, b, "dismiss") for a in "012345" for b in "012345" if a > b and (a, b) != ("5", "4")]
+    state = schema.empty_state(spark) | {"entities": schema.conform(spark.createDataFrame(rows, "id string, name string, kind string"), "entities")}
+    state = state | {"entity_merge_audit": schema.conform(spark.createDataFrame(gone, "winner_entity_id string, loser_entity_id string, action string"), "entity_merge_audit")}
+    assert [(r.a, r.b) for r in E.merge_suggestions(state, 0.5).collect()] == [("4", "5")]
