@@ -2,7 +2,9 @@
 
 import datetime as dt
 import hashlib
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,23 @@ def test_dismissed_pairs_are_left_out_however_many(spark):
     state = schema.empty_state(spark) | {"entities": schema.conform(spark.createDataFrame(rows, "id string, name string, kind string"), "entities")}
     state = state | {"entity_merge_audit": schema.conform(spark.createDataFrame(gone, "winner_entity_id string, loser_entity_id string, action string"), "entity_merge_audit")}
     assert [(r.a, r.b) for r in E.merge_suggestions(state, 0.5).collect()] == [("4", "5")]
+
+
+def test_vectors_are_shuffled_as_often_for_any_table(spark, monkeypatch):
+    monkeypatch.setattr(scan, "TILE", 60)
+    monkeypatch.setattr(scan, "COMPARED", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3 if i % 9 else 4)] if i % 13 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    got = {(r.probe, r.other): (round(r.cos, 9), r["rank"]) for r in scan.nearest_pairs(df, df.where("id % 2 = 0"), 5, 0.6, block=8).collect()}
+    size = {i: np.linalg.norm(v) for i, v in rows if v}
+    cos = lambda a, b: float(np.dot(a, b))
+    want = {}
+    for i, v in rows[::2]:
+        near = [(round(-cos(v, w) / size[i] / size[j], 9), j) for j, w in rows if v and w and len(v) == len(w) and i != j and size[i] and size[j]]
+        want |= {(i, j): (-c, at) for at, (c, j) in enumerate(sorted(x for x in near if 1 + x[0] < 0.6)[:5], 1)}
+    assert len(got) == len(want) > 100
+    assert sorted((p[0], *r) for p, r in got.items()) == sorted((p[0], *r) for p, r in want.items())
+    monkeypatch.setattr(scan, "TILE", 65_536)
+    times = [len(x.split(",")) for n in (1000, 3000) for x in re.findall(r"explode\(\[([\d,]+)\]\)", scan.nearest_pairs(*[spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"))] * 2, block=8)._jdf.queryExecution().optimizedPlan().toString())]
+    assert times == [4] * 4
