@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
 from lorekeep.operators import entities as E
-from lorekeep.operators import extract, scan, search
+from lorekeep.operators import extract, graph, scan, search
 from lorekeep.plans import schema
 from lorekeep.sources import bundle
 
@@ -114,3 +114,17 @@ def test_vectors_are_shuffled_as_often_for_any_table(spark, monkeypatch):
     monkeypatch.setattr(scan, "TILE", 65_536)
     times = [len(x.split(",")) for n in (1000, 3000) for x in re.findall(r"explode\(\[([\d,]+)\]\)", scan.nearest_pairs(*[spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"))] * 2, block=8)._jdf.queryExecution().optimizedPlan().toString())]
     assert times == [4] * 4
+
+
+def edges(spark, ends):
+    rows = [(f"e{i:03}", s, t, "knows", 1.0, "active") for i, (s, t) in enumerate(ends)]
+    return spark.createDataFrame(rows, "id string, source_entity_id string, target_entity_id string, relation_type string, confidence double, status string")
+
+
+def test_adjacency_is_stored_in_ranges_that_are_sorted_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SORTED", 10)
+    g = edges(spark, [(f"p{i % 7}", f"s{i % 5}") for i in range(35)])
+    adj = graph.adjacency(g)
+    assert "source_entity_id" not in adj.columns and len(adj.inputFiles()) > 4
+    assert sorted(map(tuple, graph.both_ways(adj, *graph.EDGE[1:]).collect())) == sorted(map(tuple, graph.both_ways(g, *graph.EDGE[1:]).collect()))
+    assert graph.neighborhood(adj, "s1", 3, 0).collect() == graph.neighborhood(g, "s1", 3, 0).collect()
