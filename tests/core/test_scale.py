@@ -128,3 +128,22 @@ def test_adjacency_is_stored_in_ranges_that_are_sorted_in_memory(spark, monkeypa
     assert "source_entity_id" not in adj.columns and len(adj.inputFiles()) > 4
     assert sorted(map(tuple, graph.both_ways(adj, *graph.EDGE[1:]).collect())) == sorted(map(tuple, graph.both_ways(g, *graph.EDGE[1:]).collect()))
     assert graph.neighborhood(adj, "s1", 3, 0).collect() == graph.neighborhood(g, "s1", 3, 0).collect()
+
+
+def test_edges_of_two_sided_graphs_are_not_grouped_again(spark):
+    two_sided = [(f"p{i % 7}", f"s{i % 5}") for i in range(0, 35, 2)] + [("p1", "s1"), ("p1", "s1")]
+    mixed = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "c"), ("d", "d"), ("d", "a"), ("p9", "s9"), ("s9", "x"), ("p9", "x")]
+    for ends in (two_sided, two_sided + mixed):
+        g = edges(spark, ends)
+        roots = spark.createDataFrame([(n,) for n in sorted({n for e in ends for n in e})], "root string")
+        for depth in (1, 2, 3):
+            got = sorted((r.root, r.relationship_id, r.depth, r.source_entity_id, r.target_entity_id) for r in graph.neighborhoods(graph.adjacency(g), roots, depth, max_nodes=0).collect())
+            want = []
+            for (root,) in roots.collect():
+                lvl = {root: 0}
+                for at in range(1, depth):
+                    lvl |= {y: at for s, t in ends for x, y in ((s, t), (t, s)) if lvl.get(x) == at - 1 and y not in lvl}
+                want += [(root, f"e{i:03}", 1 + min(lvl.get(s, 9), lvl.get(t, 9)), s, t) for i, (s, t) in enumerate(ends) if s in lvl or t in lvl]
+            assert got == sorted(want)
+    plan = graph.neighborhoods(edges(spark, two_sided), spark.createDataFrame([("s1",), ("p1",)], "root string"), 2, max_nodes=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
