@@ -31,13 +31,14 @@ def finish_job(state: dict[str, DataFrame], job: str, stats: dict[str, int], now
     return state | {"ingestion_jobs": jobs.select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])}
 
 
-def store_artifacts(state: dict[str, DataFrame], incoming: DataFrame, now, job: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def store_artifacts(state: dict[str, DataFrame], incoming: DataFrame, now, job: str | None = None, hashed: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """SRC-11, STR-08: (state, incoming with artifact_id and deduplicated).
 
     incoming has content (binary) and any artifact columns. Content is known by its hash: what the store or an earlier
-    row (by filename) has is not stored again. Contents are grouped by hash only, and cross the network once.
+    row (by filename) has is not stored again. Contents are grouped by hash only, and cross the network once. hashed: incoming
+    has content_hash already, as stored by the caller, so what needs no content reads none.
     """
-    rows = incoming.withColumn("content_hash", F.sha2("content", 256)).withColumn("artifact_id", X.uuid_of("artifact", F.col("content_hash")))
+    rows = (incoming if hashed else incoming.withColumn("content_hash", F.sha2("content", 256))).withColumn("artifact_id", X.uuid_of("artifact", F.col("content_hash")))
     order = F.coalesce(F.col("filename"), F.lit("")) if "filename" in rows.columns else F.lit("")
     known = state["artifacts"].select("content_hash", F.lit(True).alias("_known"))
     firsts = rows.groupBy("content_hash").agg(F.min(order).alias("_first"))
@@ -63,14 +64,18 @@ def persist_conversations(state: dict[str, DataFrame], normalized: DataFrame, pl
 
 
 def chat_export(state: dict[str, DataFrame], raw: DataFrame, platform: str, now, source: str = "batch") -> tuple[dict[str, DataFrame], DataFrame]:
-    """SRC-10: (state, one row of counts). raw has payload (JSON text) and may have filename; bad payloads store nothing."""
-    normalized = adapters.normalize(platform, raw.withColumn("content", F.encode("payload", "UTF-8")))
-    good = normalized.where("error IS NULL").select("content").distinct()
-    stored = raw.withColumn("content", F.encode("payload", "UTF-8")).join(good, "content", "left_semi").withColumn("kind", F.lit("chat_export")).withColumn("source_platform", F.lit(platform)).withColumn("media_type", F.lit("application/json")).drop("payload")
+    """SRC-10: (state, one row of counts). raw has payload (JSON text) and may have filename; bad payloads store nothing.
+
+    Payloads are parsed once, and from then on known by their hash: what is compared, counted or joined holds no text.
+    """
+    rows = schema.settled(raw.withColumn("content_hash", F.sha2(F.encode("payload", "UTF-8"), 256)))
+    normalized = schema.settled(adapters.normalize(platform, rows))
+    good = normalized.where("error IS NULL").select("content_hash").distinct()
+    stored = rows.join(good, "content_hash", "left_semi").withColumn("content", F.encode("payload", "UTF-8")).withColumn("kind", F.lit("chat_export")).withColumn("source_platform", F.lit(platform)).withColumn("media_type", F.lit("application/json")).drop("payload")
     state, job = start_job(state, source, now)
-    state, kept = store_artifacts(state, stored, now, job)
-    fresh = kept.where(~F.col("deduplicated")).select("content", "artifact_id").distinct()
-    new = normalized.join(fresh, "content").drop("content")
+    state, kept = store_artifacts(state, stored, now, job, hashed=True)
+    fresh = kept.where(~F.col("deduplicated")).select("content_hash", "artifact_id").distinct()
+    new = schema.settled(normalized.join(fresh, "content_hash").drop("content_hash"))
     state = persist_conversations(state, new, platform)
     parts = {"conversations": new.agg(F.count("*").alias("n")), "messages": new.agg(F.sum(F.size("messages")).alias("n")), "deduplicated": kept.agg(F.count_if("deduplicated").alias("n")), "rejected": normalized.agg(F.count("error").alias("n"))}
     counts = schema.one_row(parts)

@@ -12,7 +12,7 @@ from lorekeep.functions import text as X
 from lorekeep.operators import entities as E
 from lorekeep.operators import extract, graph, scan, search
 from lorekeep.plans import schema
-from lorekeep.sources import bundle
+from lorekeep.sources import bundle, ingest
 
 NOW = dt.datetime(2024, 1, 1)
 
@@ -147,3 +147,16 @@ def test_edges_of_two_sided_graphs_are_not_grouped_again(spark):
             assert got == sorted(want)
     plan = graph.neighborhoods(edges(spark, two_sided), spark.createDataFrame([("s1",), ("p1",)], "root string"), 2, max_nodes=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_exports_are_parsed_once_and_counted_without_their_texts(spark):
+    chat = lambda i: f'{{"conversations": [{{"id": "{i}", "messages": [{{"role": "user", "content": "hello {i}"}}, {{"role": "user", "content": " "}}]}}]}}'
+    raw = spark.createDataFrame([("a", chat(1)), ("b", chat(2)), ("d", "{"), ("e", None)], "filename string, payload string")
+    state, counts = ingest.chat_export(schema.empty_state(spark), raw, "generic", NOW)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "encode(" not in plan
+    assert tuple(counts.first()) == (2, 2, 0, 2)
+    assert sorted(r.content for r in state["messages"].collect()) == ["hello 1", "hello 2"]
+    assert sorted((r.filename, bytes(r.raw_content).decode()) for r in state["artifacts"].collect()) == [("a", chat(1)), ("b", chat(2))]
+    again, counts = ingest.chat_export(state, raw, "generic", NOW)
+    assert tuple(counts.first()) == (0, 0, 2, 2) and again["messages"].count() == 2
